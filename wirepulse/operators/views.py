@@ -16,7 +16,7 @@ API_LIMIT = 200
 DEFAULT_LIMIT = 500
 
 
-def _ordering(sort: Sequence[str]) -> list[Column]:
+def ordering(sort: Sequence[str]) -> list[Column]:
     return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in sort]
 
 
@@ -30,7 +30,7 @@ def top_view(
     """Filter, order (``-name`` descends), cut and project a result set."""
     out = df if where is None else df.where(where)
     if sort:
-        out = out.orderBy(*_ordering(sort))
+        out = out.orderBy(*ordering(sort))
     if limit:
         out = out.limit(limit)
     return out.select(*cols) if cols else out
@@ -152,3 +152,12 @@ def row_counts(results: dict[str, DataFrame]) -> DataFrame:
     for one in counts[1:]:
         out = out.unionByName(one)
     return out
+
+
+def table_json(results: dict[str, DataFrame], name: str, limit: int = API_LIMIT) -> DataFrame:
+    """JSON rows of one of the known result sets; any other name is refused."""
+    from wirepulse.plans.registry import ANALYSES
+
+    if name not in ANALYSES or name not in results:
+        raise KeyError(f"no result set {name!r}")
+    return json_rows(results[name], limit)

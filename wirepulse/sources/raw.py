@@ -37,9 +37,18 @@ def scan_lines(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", file_pattern(table)).text(raw_dir)
 
 
-def stream_lines(spark: SparkSession, raw_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """The same lines as a stream that picks up new files."""
-    reader = spark.readStream.option("pathGlobFilter", file_pattern(table))
+def stream_lines(
+    spark: SparkSession,
+    raw_dir: str,
+    table: str,
+    max_files: int | None = None,
+    pattern: str | None = None,
+) -> DataFrame:
+    """The same lines as a stream that picks up new files.
+
+    ``pattern`` replaces the name rule for a folder that holds one table only.
+    """
+    reader = spark.readStream.option("pathGlobFilter", pattern or file_pattern(table))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.text(raw_dir)
