@@ -30,19 +30,19 @@ def filled(name: str) -> Column:
 def wall_clock(stamp: str) -> Column:
     """``YYYYMMDDHHMMSS`` text as a time-zone-free timestamp, null when it is not one.
 
-    Integer arithmetic on the parsed number stays inside generated code; a formatter-based
-    parse would shift or drop hours in sessions whose zone has daylight saving.
+    A parse into the session's zone would shift or drop hours where that zone has daylight
+    saving. Inserting the separators names the column once and stays in generated code.
     """
-    digits = F.when(F.length(stamp) == 14, F.col(stamp).try_cast("bigint"))
-    number = F.when((digits >= 10**13) & (digits % 100 < 60), digits)
+    iso = F.col(stamp)
+    for position, separator in ((5, "-"), (8, "-"), (11, " "), (14, ":"), (17, ":")):
+        iso = F.overlay(iso, F.lit(separator), position, 0)
+    return F.when(F.length(stamp) == 14, iso.try_cast("timestamp_ntz"))
 
-    def part(power: int, width: int) -> Column:
-        return (F.floor(number / F.lit(10**power)) % 10**width).cast("int")
 
-    return F.try_make_timestamp_ntz(
-        part(10, 4), part(8, 2), part(6, 2), part(4, 2), part(2, 2),
-        (number % 100).cast("decimal(8,6)"),
-    )
+def hour_start(at: Column) -> Column:
+    """Start of the hour of a zone-free timestamp (``date_trunc`` would apply the session's zone)."""
+    zero = F.lit(0)
+    return at - F.make_dt_interval(zero, zero, F.minute(at), F.second(at))
 
 
 def calendar_day(number: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirepulse.functions.columns import HOUR_SECONDS, filled, is_conflict, wall_clock
+from wirepulse.functions.columns import HOUR_SECONDS, filled, hour_start, is_conflict, wall_clock
 from wirepulse.operators.rollups import country_day, country_pair_day
 
 
@@ -43,7 +43,7 @@ def hourly_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions per event and hour; unreadable time stamps count under a null hour."""
     return mentions.groupBy(
         "GlobalEventID",
-        F.date_trunc("hour", wall_clock("MentionTimeDate")).alias("mention_hour"),
+        hour_start(wall_clock("MentionTimeDate")).alias("mention_hour"),
     ).agg(F.count(F.lit(1)).alias("mentions_this_hour"))
 
 

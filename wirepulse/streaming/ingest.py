@@ -65,8 +65,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Parse new raw files into a landed table; events are de-duplicated on the way.
 
-    ``retention`` is the file sink's own time to live: older output files leave its log,
-    so readers of the table no longer see them.
+    ``retention`` (``"1h"``) is the file sink's own time to live: older output files leave
+    its log, so readers of the table no longer see them.
     """
     rows = stamped_stream(parse_lines(stream_lines(spark, raw_dir, table, max_files, pattern), table))
     if table == "events":
