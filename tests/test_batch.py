@@ -77,6 +77,12 @@ def test_run_writes_every_result_and_logs(spark, tables, tmp_path):
     assert again.count() == counts["conflict_heatmap"]
 
 
+def test_cached_run_needs_only_the_shared_columns(spark, tables, tmp_path):
+    batch.run_analyses(spark, tables, str(tmp_path), share=False, cache=True)
+    assert results.run_log(spark, str(tmp_path)).first()["status"] == "success"
+    assert results.read_result(spark, str(tmp_path), "breaking_news").count() == 3
+
+
 def test_a_failing_analysis_is_logged_and_others_are_written(spark, tables, tmp_path, monkeypatch):
     def broken(_events):
         return tables["events"].selectExpr("raise_error('no')")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 from datetime import datetime
 
 from tests.conftest import F, rows_of, table
@@ -57,13 +59,14 @@ def test_old_event_dates_are_not_late(spark, tmp_path):
 
 
 def mention_stream(spark, tmp_path, batches):
-    """One file per batch, read one at a time."""
+    """One file per batch, read one at a time in the order of their modification times."""
     folder = tmp_path / "mentions"
+    folder.mkdir()
+    start = time.time() - 1000
     for number, rows in enumerate(batches):
-        folder.mkdir(exist_ok=True)
-        (folder / f"{number}.json").write_text("".join(
-            json.dumps({"GlobalEventID": i, "MentionTimeDate": t}) + "\n" for i, t in rows
-        ))
+        path = folder / f"{number}.json"
+        path.write_text("".join(json.dumps({"GlobalEventID": i, "MentionTimeDate": t}) + "\n" for i, t in rows))
+        os.utime(path, (start + 10 * number,) * 2)
     return (
         spark.readStream.schema("GlobalEventID long, MentionTimeDate string")
         .option("maxFilesPerTrigger", 1).json(str(folder))

@@ -23,6 +23,7 @@ def build_parser() -> argparse.ArgumentParser:
     run.add_argument("--format", dest="fmt", default="parquet")
     run.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="writer option")
     run.add_argument("--ordered", action="store_true", help="write rows in presentation order")
+    run.add_argument("--cache", action="store_true", help="keep the shared input columns in memory or on disk")
     run.add_argument("--jobs", type=int, default=3, help="analyses submitted at once")
 
     ingest = commands.add_parser("ingest", help="land raw files and expire old rows")
@@ -49,7 +50,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         options = dict(item.split("=", 1) for item in args.option)
         written = run_group(
             spark, args.parquet_dir, args.out_dir, args.group, args.since,
-            ordered=args.ordered, concurrent_jobs=args.jobs, fmt=args.fmt, options=options,
+            ordered=args.ordered, cache=args.cache, concurrent_jobs=args.jobs, fmt=args.fmt, options=options,
         )
         print("\n".join(written))
     elif args.command == "ingest":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirepulse.functions.columns import filled, published_date, wall_clock
 from wirepulse.operators.ranking import keep_top_ranked
 from wirepulse.operators.rollups import country_day, country_event_day
+from wirepulse.session import materialise
 
 
 def top_news_countries(events: DataFrame, *, k: int = 10) -> DataFrame:
@@ -107,19 +108,26 @@ def breaking_news(
     *,
     threshold: int = 100,
     horizon: str = "1 hour",
+    staged: bool = False,
 ) -> DataFrame:
-    """Bursts with the country and date of their event, null when the event is unknown."""
+    """Bursts with the country and date of their event, null when the event is unknown.
+
+    ``staged`` first writes the bursts to the shared folder. Their size is then known when
+    the join is planned, so a short list is broadcast to the events and a long one is not.
+    """
     bursts = first_hour_bursts(mentions, threshold=threshold, horizon=horizon)
-    return locate_bursts(bursts, events)
+    return locate_bursts(materialise(bursts, "bursts") if staged else bursts, events)
 
 
 def locate_bursts(bursts: DataFrame, events: DataFrame) -> DataFrame:
+    """Only events that burst enter the outer join; the others fall to a semi-join first."""
     places = events.select(
         "GlobalEventID",
         F.col("ActionGeo_CountryCode").alias("country"),
         F.col("Day").alias("date"),
     )
-    return bursts.join(places, "GlobalEventID", "left").select(
+    burst_places = places.join(bursts.select("GlobalEventID"), "GlobalEventID", "left_semi")
+    return bursts.join(burst_places, "GlobalEventID", "left").select(
         "GlobalEventID",
         F.col("first_mention_time").cast("timestamp").alias("first_mention_time"),
         "mentions_in_first_hour",

@@ -10,10 +10,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from wirepulse.operators.rollups import ROLLUPS
-from wirepulse.plans.registry import Analysis, in_group
+from wirepulse.plans.registry import SHARED_COLUMNS, Analysis, in_group
 from wirepulse.plans.results import record_run, write_result
 from wirepulse.session import materialise
-from wirepulse.sources.landed import read_tables
+from wirepulse.sources.landed import read_tables, shared_input
 
 
 class RunFailed(RuntimeError):
@@ -55,6 +55,7 @@ def run_analyses(
     group: str = "all",
     *,
     share: bool = True,
+    cache: bool = False,
     ordered: bool = False,
     concurrent_jobs: int = 3,
     fmt: str = "parquet",
@@ -63,10 +64,13 @@ def run_analyses(
     """Run a group of analyses and write each result set; returns their names.
 
     The jobs are independent, so several are submitted at once and share the cluster. A
-    failing analysis does not stop the others; the run is logged either way.
+    failing analysis does not stop the others; the run is logged either way. ``cache`` keeps
+    the columns that the analyses read, for inputs that fit the cluster's memory and disks.
     """
     started = datetime.now(timezone.utc)
     analyses = in_group(group)
+    if cache:
+        tables = tables | {name: shared_input(tables[name], columns) for name, columns in SHARED_COLUMNS.items()}
     rollups = shared_rollups(analyses, tables["events"]) if share else {}
     frames = result_frames(analyses, tables, rollups)
     order = {analysis.result: analysis.order if ordered else () for analysis in analyses}
@@ -80,6 +84,9 @@ def run_analyses(
 
     with ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
         outcome = dict(zip(frames, pool.map(write, frames), strict=True))
+    if cache:
+        for name in SHARED_COLUMNS:
+            tables[name].unpersist()
     errors = {name: error for name, error in outcome.items() if error is not None}
     record_run(spark, out_dir, f"{group}-{uuid.uuid4().hex}", started, datetime.now(timezone.utc), sorted(errors))
     if errors:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -72,7 +73,7 @@ ANALYSES: dict[str, Analysis] = {
                  ("-source_diversity_index",)),
         Analysis("A16", "ethnic_conflicts", "conflicts", _EVENTS, conflict.ethnic_conflicts,
                  ("-event_count",), day_of="event"),
-        Analysis("A17", "breaking_news", "media", ("mentions", "events"), media.breaking_news,
+        Analysis("A17", "breaking_news", "media", ("mentions", "events"), partial(media.breaking_news, staged=True),
                  ("-mentions_in_first_hour",)),
         Analysis("A18", "extreme_tone_events", "sentiment", _EVENTS, sentiment.extreme_tone_events,
                  ("-tone_extreme_type", "AvgTone")),
@@ -82,6 +83,18 @@ ANALYSES: dict[str, Analysis] = {
 }
 
 
+# Columns that the analyses read, of inputs that more than one of them scans.
+SHARED_COLUMNS = {
+    "events": (
+        "GlobalEventID", "Day", "DATEADDED", "ActionGeo_CountryCode", "ActionGeo_FullName",
+        "Actor1CountryCode", "Actor2CountryCode", "Actor1Type1Code", "Actor2Type1Code",
+        "Actor1EthnicCode", "Actor2EthnicCode", "Actor1Religion1Code", "Actor2Religion1Code",
+        "EventRootCode", "QuadClass", "GoldsteinScale", "AvgTone", "NumMentions", "NumSources", "NumArticles",
+    ),
+    "mentions": ("GlobalEventID", "MentionTimeDate", "MentionSourceName"),
+}
+
+
 def in_group(group: str) -> list[Analysis]:
     """Analyses of one group, or of all of them."""
     if group == "all":

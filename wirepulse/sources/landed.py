@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +88,7 @@ def read_tables(spark: SparkSession, parquet_dir: str, since: datetime | None =
     return {table: read_table(spark, parquet_dir, table, since) for table in RAW_SCHEMAS}
 
 
-def shared_input(df: DataFrame, columns: list[str]) -> DataFrame:
+def shared_input(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Keep only ``columns`` of an input that several analyses read in memory or on disk.
 
     Caching a whole input would scan all its columns and push no filter down.

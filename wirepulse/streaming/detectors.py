@@ -78,9 +78,10 @@ def _escalation_step(hours: int, min_ratio: float) -> Callable:
             if ratio > min_ratio:
                 found.append((key[0], at, total, int(now), ratio))
         state.update((recent[1 - hours:],))
-        yield pd.DataFrame(found, columns=[
-            "GlobalEventID", "mention_hour", "mentions_last_24h", "mentions_this_hour", "escalation_ratio",
-        ])
+        if found:
+            yield pd.DataFrame(found, columns=[
+                "GlobalEventID", "mention_hour", "mentions_last_24h", "mentions_this_hour", "escalation_ratio",
+            ])
 
     return step
 
@@ -107,8 +108,12 @@ def _burst_step(threshold: int, horizon_ms: int, forget_ms: int) -> Callable:
         import pandas as pd
 
         def verdict(first, count):
-            hit = [(key[0], pd.Timestamp(first, unit="ms"), count)] if count >= threshold else []
-            return pd.DataFrame(hit, columns=["GlobalEventID", "first_mention_time", "mentions_in_first_hour"])
+            if count >= threshold:
+                yield pd.DataFrame({
+                    "GlobalEventID": [key[0]],
+                    "first_mention_time": [pd.Timestamp(first, unit="ms")],
+                    "mentions_in_first_hour": [count],
+                })
 
         if state.hasTimedOut:
             first, count, is_open = state.get
@@ -117,7 +122,7 @@ def _burst_step(threshold: int, horizon_ms: int, forget_ms: int) -> Callable:
                 return
             state.update((first, count, 0))
             state.setTimeoutTimestamp(max(first + forget_ms, state.getCurrentWatermarkMs() + 1))
-            yield verdict(first, count)
+            yield from verdict(first, count)
             return
 
         rows = pd.concat(list(chunks))
@@ -128,7 +133,7 @@ def _burst_step(threshold: int, horizon_ms: int, forget_ms: int) -> Callable:
             count += int(rows["mentions"].to_numpy()[at <= first + horizon_ms].sum())
             if first + horizon_ms < watermark:
                 is_open = 0
-                yield verdict(first, count)
+                yield from verdict(first, count)
         state.update((first, count, is_open))
         wake = first + (horizon_ms + 1 if is_open else forget_ms)
         state.setTimeoutTimestamp(max(wake, watermark + 1))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wirepulse.functions.columns import published_date
+from wirepulse.plans.batch import result_frames, shared_rollups
 from wirepulse.plans.registry import ANALYSES, Analysis
 from wirepulse.plans.results import write_days
+from wirepulse.session import materialise
 from wirepulse.streaming.ingest import start
 
 DAY_COLUMNS = {"published": published_date, "event": lambda: F.col("Day")}
@@ -19,9 +21,27 @@ def daily_analyses() -> list[Analysis]:
     return [analysis for analysis in ANALYSES.values() if analysis.day_of]
 
 
-def events_of_days(history: DataFrame, arrived: DataFrame, day_of: str) -> DataFrame:
-    """All events of the days that the arrived events touch."""
-    days = arrived.select(DAY_COLUMNS[day_of]().alias("_day")).distinct()
+def _between(first: int, last: int, day_of: str) -> Column:
+    """Bounds on the stored column, which Parquet statistics can prune files by."""
+    if day_of == "event":
+        return F.col("Day").between(first, last)
+    # Eight digits are the only text of that length that reads as an eight-digit number,
+    # and ":" sorts after every digit.
+    return (F.col("DATEADDED") >= str(first)) & (F.col("DATEADDED") < f"{last}:")
+
+
+def events_of_days(history: DataFrame, days: DataFrame, day_of: str) -> DataFrame:
+    """All events of the given days (column ``_day``).
+
+    Landed files follow the ingest order, so bounds on the day skip most of the history.
+    They apply only where every day is a plain date; the semi-join decides in any case.
+    """
+    plain = F.col("_day").between(10_000_000, 99_999_999)
+    bounds = days.agg(
+        F.min("_day").alias("first"), F.max("_day").alias("last"), F.bool_and(F.coalesce(plain, F.lit(False))).alias("plain"),
+    ).first()
+    if bounds["plain"]:
+        history = history.where(_between(bounds["first"], bounds["last"], day_of))
     return history.join(days, DAY_COLUMNS[day_of]().eqNullSafe(F.col("_day")), "left_semi")
 
 
@@ -30,9 +50,15 @@ def refresh_days(history: DataFrame, arrived: DataFrame, out_dir: str, analyses:
 
     Every day is recomputed whole, so replaying a batch after a failure gives the same result.
     """
-    for analysis in analyses:
-        days = events_of_days(history, arrived, analysis.day_of)
-        write_days(analysis.build(days), analysis.result, out_dir)
+    for day_of, day in DAY_COLUMNS.items():
+        chosen = [analysis for analysis in analyses if analysis.day_of == day_of]
+        if not chosen:
+            continue
+        days = materialise(arrived.select(day().alias("_day")).distinct(), "days")
+        touched = events_of_days(history, days, day_of)
+        frames = result_frames(chosen, {"events": touched}, shared_rollups(chosen, touched))
+        for name, frame in frames.items():
+            write_days(frame, name, out_dir)
 
 
 def refresh_results_stream(
