@@ -53,10 +53,9 @@ def present(df: DataFrame) -> DataFrame:
 
 
 def build(analysis: Analysis, spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
-    tables = sample_tables.tables(spark, sf_dir)
     if analysis.result in ("cameo_distribution", "religion_conflict_cluster"):
         settings["regions"] = sample_tables.regions(spark, sf_dir)
-    return analysis.build(*[tables[name] for name in analysis.inputs], **settings)
+    return analysis.build(*[sample_tables.landed_table(spark, sf_dir, name) for name in analysis.inputs], **settings)
 
 
 def _analysis(analysis: Analysis, **settings) -> Query:

@@ -125,6 +125,10 @@ def landed_dir(spark: SparkSession, sf_dir: str) -> str:
     return _landed[key]
 
 
+def landed_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return landed.read_table(spark, landed_dir(spark, sf_dir), table)
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return landed.read_tables(spark, landed_dir(spark, sf_dir))
 

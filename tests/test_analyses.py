@@ -8,7 +8,8 @@ from datetime import datetime
 import pytest
 
 from tests.conftest import F, rows_of
-from wirepulse.functions.columns import wall_clock
+from wirepulse.functions.columns import stamp_number, wall_clock
+from wirepulse.functions import lookups
 from wirepulse.functions.lookups import COUNTRY_NAMES, REGIONS, country_name
 from wirepulse.operators import actors, conflict, media, ranking, sentiment
 
@@ -174,8 +175,9 @@ def test_escalation_ratio_and_frames(mentions_of):
 
 
 def test_escalation_counts_unreadable_times_under_no_hour(mentions_of):
-    mentions = mentions_of((1, "bad"), (1, "bad"), (1, None))
-    assert rows_of(conflict.escalation_events(mentions), "mention_hour", "mentions_this_hour") == [(None, 3)]
+    bad = ("bad", "bad", None, "20240230100000", "20240230110000", "20240101249999", "20240101250000", "20240101006000")
+    mentions = mentions_of(*[(1, text) for text in bad])
+    assert rows_of(conflict.escalation_events(mentions), "mention_hour", "mentions_this_hour") == [(None, 8)]
 
 
 def test_breaking_news_threshold_and_inclusive_hour(events_of, mentions_of):
@@ -248,10 +250,11 @@ def test_articles_skip_missing_counts(events_of):
 @pytest.mark.parametrize("text, expected", [
     ("20240229123456", datetime(2024, 2, 29, 12, 34, 56)),
     ("20240230123456", None), ("20240101240000", None), ("20240101000060", None), ("20240101", None),
-    ("2024-01-01 0000", None), ("202401010000000", None), ("", None), (None, None), ("abcdefghijklmn", None),
+    ("2024-01-01 0000", None), ("2024010112345 ", None), (" 2024010112345", None), ("00240101123456", None),
+    ("20241301000000", None), ("20240101006000", None), ("202401010000000", None), ("", None), (None, None), ("abcdefghijklmn", None),
 ])
 def test_wall_clock(spark, text, expected):
-    df = spark.createDataFrame([(text,)], "stamp string").select(wall_clock("stamp").alias("at"))
+    df = spark.createDataFrame([(text,)], "stamp string").select(wall_clock(stamp_number("stamp")).alias("at"))
     assert df.first()["at"] == expected
 
 
@@ -267,6 +270,11 @@ def test_hours_do_not_depend_on_the_session_zone(spark, mentions_of, zone):
     assert [r[0] for r in hours] == ["2024-03-10 02:00:00"]
 
 
+def test_code_table_keeps_any_text(spark):
+    entries = {"a'b": "it's \\ \"x\"", "c": "é"}
+    assert dict(rows_of(lookups.code_table(spark, entries, "code", "label"))) == entries
+
+
 def test_country_names_cover_the_regions(spark):
     assert set(COUNTRY_NAMES) == set(REGIONS)
     df = spark.createDataFrame([("GM",), ("ZZ",)], "code string").select(country_name(F.col("code")))

@@ -27,22 +27,32 @@ def filled(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name) != "")
 
 
-def wall_clock(stamp: str) -> Column:
-    """``YYYYMMDDHHMMSS`` text as a time-zone-free timestamp, null when it is not one.
+def stamp_number(stamp: str) -> Column:
+    """``YYYYMMDDHHMMSS`` text as a number, null for text of any other shape.
+
+    Cheap enough for every raw row, and a compact grouping key; ``wall_clock`` then reads
+    the calendar on the far fewer grouped rows.
+    """
+    text = F.col(stamp)
+    return F.when((F.length(text) == 14) & (text >= "1"), text.try_cast("bigint"))
+
+
+def hour_number(number: Column) -> Column:
+    """Stamp number of the start of its hour, null when minutes or seconds are out of range."""
+    clock = number % 10_000
+    return F.when((clock < 6000) & (clock % 100 < 60), number - clock)
+
+
+def wall_clock(number: Column) -> Column:
+    """Stamp number as a zone-free timestamp, null when there is no such time.
 
     A parse into the session's zone would shift or drop hours where that zone has daylight
-    saving. Inserting the separators names the column once and stays in generated code.
+    saving.
     """
-    iso = F.col(stamp)
+    iso = number.cast("string")
     for position, separator in ((5, "-"), (8, "-"), (11, " "), (14, ":"), (17, ":")):
         iso = F.overlay(iso, F.lit(separator), position, 0)
-    return F.when(F.length(stamp) == 14, iso.try_cast("timestamp_ntz"))
-
-
-def hour_start(at: Column) -> Column:
-    """Start of the hour of a zone-free timestamp (``date_trunc`` would apply the session's zone)."""
-    zero = F.lit(0)
-    return at - F.make_dt_interval(zero, zero, F.minute(at), F.second(at))
+    return F.when(number >= 10**13, iso.try_cast("timestamp_ntz"))
 
 
 def calendar_day(number: str) -> Column:
@@ -50,19 +60,6 @@ def calendar_day(number: str) -> Column:
     return F.try_to_date(F.col(number).cast("string"), "yyyyMMdd")
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows where both are set.
-
-    ``corr`` divides by zero under ANSI mode for a group with one row or a constant side;
-    this form yields null there.
-    """
-    both = x.isNotNull() & y.isNotNull()
-    return F.try_divide(
-        F.covar_pop(x, y),
-        F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)),
-    )
-
-
 def first_item(text: Column, separator: str) -> Column:
     """Part of ``text`` before the first separator, the whole text when there is none."""
     return F.substring_index(text, separator, 1)

@@ -69,12 +69,12 @@ ROOT_CODE_LABELS = {
 
 def code_table(spark: SparkSession, entries: dict[str, str], code: str, label: str) -> DataFrame:
     """Two-column table of a fixed mapping, held inline in the plan."""
-    # Named parameters: long lists of positional ones are bound out of order in Spark 4.1.
-    rows = ", ".join(f"(:code{i}, :label{i})" for i in range(len(entries)))
-    values = {}
-    for i, (key, text) in enumerate(entries.items()):
-        values |= {f"code{i}": key, f"label{i}": text}
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS codes({code}, {label})", args=values)
+    rows = ", ".join(f"({_literal(key)}, {_literal(value)})" for key, value in entries.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS codes({code}, {label})")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def with_label(

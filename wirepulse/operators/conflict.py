@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirepulse.functions.columns import HOUR_SECONDS, filled, hour_start, is_conflict, wall_clock
+from wirepulse.functions.columns import HOUR_SECONDS, filled, hour_number, is_conflict, stamp_number, wall_clock
 from wirepulse.operators.rollups import country_day, country_pair_day
 
 
@@ -40,11 +40,23 @@ def pairs_from(rollup: DataFrame) -> DataFrame:
 
 
 def hourly_mentions(mentions: DataFrame) -> DataFrame:
-    """Mentions per event and hour; unreadable time stamps count under a null hour."""
-    return mentions.groupBy(
-        "GlobalEventID",
-        hour_start(wall_clock("MentionTimeDate")).alias("mention_hour"),
-    ).agg(F.count(F.lit(1)).alias("mentions_this_hour"))
+    """Mentions per event and hour; unreadable time stamps count under a null hour.
+
+    Raw rows are grouped by the hour's number. The calendar is read on those groups, which
+    the last step merges where several are no real hour; it runs on the partitioning that
+    a window per event needs next.
+    """
+    numbered = mentions.select("GlobalEventID", stamp_number("MentionTimeDate").alias("stamp"))
+    counted = (
+        numbered.groupBy("GlobalEventID", hour_number(F.col("stamp")).alias("hour"))
+        .agg(F.count(F.lit(1)).alias("mentions"))
+        .select("GlobalEventID", wall_clock(F.col("hour")).alias("mention_hour"), "mentions")
+    )
+    return (
+        counted.repartition("GlobalEventID")
+        .groupBy("GlobalEventID", "mention_hour")
+        .agg(F.sum("mentions").alias("mentions_this_hour"))
+    )
 
 
 def escalation_events(

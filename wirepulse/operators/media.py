@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirepulse.functions.columns import filled, published_date, wall_clock
+from wirepulse.functions.columns import filled, published_date, stamp_number, wall_clock
 from wirepulse.operators.ranking import keep_top_ranked
 from wirepulse.operators.rollups import country_day, country_event_day
 from wirepulse.session import materialise
@@ -84,13 +84,14 @@ def first_hour_bursts(mentions: DataFrame, *, threshold: int = 100, horizon: str
     """Events with at least ``threshold`` mentions up to ``horizon`` after their first one.
 
     Mentions are counted per event and time stamp before the window looks for the first
-    one, so a key has at most one row per second whatever its number of mentions.
+    one, so a key has at most one row per second whatever its number of mentions. Stamps
+    that are no time compare as null and drop out.
     """
     ticks = (
-        mentions.select("GlobalEventID", wall_clock("MentionTimeDate").alias("at"))
-        .where(F.col("at").isNotNull() & F.col("GlobalEventID").isNotNull())
-        .groupBy("GlobalEventID", "at")
+        mentions.where(F.col("GlobalEventID").isNotNull())
+        .groupBy("GlobalEventID", stamp_number("MentionTimeDate").alias("stamp"))
         .agg(F.count(F.lit(1)).alias("mentions"))
+        .select("GlobalEventID", wall_clock(F.col("stamp")).alias("at"), "mentions")
     )
     first = F.min("at").over(Window.partitionBy("GlobalEventID"))
     return (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirepulse.functions.columns import is_conflict, pearson, published_date
+from wirepulse.functions.columns import published_date
 
 
 def located(events: DataFrame) -> DataFrame:
@@ -25,27 +25,32 @@ def between_countries(events: DataFrame) -> DataFrame:
 
 
 def country_day(events: DataFrame, conflict_quad: int = 3) -> DataFrame:
-    """Measures per action country and publication date."""
-    conflict = is_conflict(conflict_quad)
-    paired = F.col("AvgTone").isNotNull() & F.col("NumSources").isNotNull()
-    tone = F.when(paired, F.col("AvgTone"))
-    sources = F.when(paired, F.col("NumSources").cast("double"))
+    """Measures per action country and publication date.
+
+    The correlation is written out: ``corr`` divides by zero under ANSI mode for a group with
+    one row or a constant side, where this form yields null.
+    """
+    conflict = f"QuadClass >= {conflict_quad}"
+    paired = "AvgTone IS NOT NULL AND NumSources IS NOT NULL"
     return (
         located(events)
         .groupBy(F.col("ActionGeo_CountryCode").alias("country"), published_date().alias("date"))
-        .agg(
-            F.count("GlobalEventID").alias("events"),
-            F.avg("AvgTone").alias("tone"),
-            F.count_if(conflict).alias("conflict_rows"),
-            F.count(F.when(conflict, F.col("GlobalEventID"))).alias("conflict_events"),
-            F.avg(F.when(conflict, F.col("GoldsteinScale"))).alias("conflict_goldstein"),
-            F.avg(F.when(conflict, F.col("NumMentions"))).alias("conflict_mentions"),
-            F.count_if(paired).alias("paired_rows"),
-            F.count(F.when(paired, F.col("GlobalEventID"))).alias("paired_events"),
-            F.avg(tone).alias("paired_tone"),
-            F.avg(sources).alias("paired_sources"),
-            pearson(tone, sources).alias("tone_sources"),
-        )
+        .agg(*map(F.expr, (
+            "count(GlobalEventID) AS events",
+            "avg(AvgTone) AS tone",
+            f"count(*) FILTER (WHERE {conflict}) AS conflict_rows",
+            f"count(GlobalEventID) FILTER (WHERE {conflict}) AS conflict_events",
+            f"avg(GoldsteinScale) FILTER (WHERE {conflict}) AS conflict_goldstein",
+            f"avg(NumMentions) FILTER (WHERE {conflict}) AS conflict_mentions",
+            f"count(*) FILTER (WHERE {paired}) AS paired_rows",
+            f"count(GlobalEventID) FILTER (WHERE {paired}) AS paired_events",
+            f"avg(AvgTone) FILTER (WHERE {paired}) AS paired_tone",
+            f"avg(NumSources) FILTER (WHERE {paired}) AS paired_sources",
+            f"""try_divide(
+                covar_pop(AvgTone, NumSources) FILTER (WHERE {paired}),
+                stddev_pop(AvgTone) FILTER (WHERE {paired}) * stddev_pop(NumSources) FILTER (WHERE {paired})
+            ) AS tone_sources""",
+        )))
     )
 
 
@@ -54,19 +59,19 @@ def country_event_day(events: DataFrame) -> DataFrame:
     return (
         located(events)
         .groupBy(F.col("ActionGeo_CountryCode").alias("country"), F.col("Day").alias("date"))
-        .agg(
-            F.sum("NumMentions").alias("mentions"),
-            F.count("GlobalEventID").alias("events"),
-            F.sum("NumArticles").alias("articles"),
-            F.count("NumArticles").alias("article_rows"),
-            F.count(F.when(F.col("NumArticles").isNotNull(), F.col("GlobalEventID"))).alias("article_events"),
-        )
+        .agg(*map(F.expr, (
+            "sum(NumMentions) AS mentions",
+            "count(GlobalEventID) AS events",
+            "sum(NumArticles) AS articles",
+            "count(NumArticles) AS article_rows",
+            "count(GlobalEventID) FILTER (WHERE NumArticles IS NOT NULL) AS article_events",
+        )))
     )
 
 
 def country_pair_day(events: DataFrame, conflict_quad: int = 3) -> DataFrame:
     """Directed actor-country pairs per event date."""
-    conflict = is_conflict(conflict_quad)
+    conflict = f"QuadClass >= {conflict_quad}"
     return (
         between_countries(events)
         .groupBy(
@@ -74,13 +79,13 @@ def country_pair_day(events: DataFrame, conflict_quad: int = 3) -> DataFrame:
             F.col("Actor2CountryCode").alias("target"),
             F.col("Day").alias("date"),
         )
-        .agg(
-            F.count("GlobalEventID").alias("events"),
-            F.count_if(F.col("QuadClass") < conflict_quad).alias("diplomatic_rows"),
-            F.count_if(conflict).alias("conflict_rows"),
-            F.count(F.when(conflict, F.col("GlobalEventID"))).alias("conflict_events"),
-            F.avg(F.when(conflict, F.col("GoldsteinScale"))).alias("conflict_goldstein"),
-        )
+        .agg(*map(F.expr, (
+            "count(GlobalEventID) AS events",
+            f"count(*) FILTER (WHERE QuadClass < {conflict_quad}) AS diplomatic_rows",
+            f"count(*) FILTER (WHERE {conflict}) AS conflict_rows",
+            f"count(GlobalEventID) FILTER (WHERE {conflict}) AS conflict_events",
+            f"avg(GoldsteinScale) FILTER (WHERE {conflict}) AS conflict_goldstein",
+        )))
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from wirepulse.functions.columns import wall_clock
+from wirepulse.functions.columns import stamp_number, wall_clock
 from wirepulse.streaming.ingest import start
 
 COUNTS_SCHEMA = "GlobalEventID long, at timestamp, mentions long"
@@ -29,7 +29,7 @@ BURST_SCHEMA = "GlobalEventID long, first_mention_time timestamp, mentions_in_fi
 def timed_mentions(mentions: DataFrame, delay: str) -> DataFrame:
     """Mentions with a readable time stamp, under a watermark."""
     return (
-        mentions.select("GlobalEventID", wall_clock("MentionTimeDate").cast("timestamp").alias("at"))
+        mentions.select("GlobalEventID", wall_clock(stamp_number("MentionTimeDate")).cast("timestamp").alias("at"))
         .where(F.col("at").isNotNull())
         .withWatermark("at", delay)
     )
