@@ -185,7 +185,7 @@ def refreshed_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_path(spark, "refresh")
     arrivals = sample_tables.news_events(spark, sf_dir, _event_stream(spark, sf_dir))
     refresh.refresh_results_stream(
-        spark, sample_tables.news_events(spark, sf_dir), arrivals, work, f"{work}/checkpoint",
+        lambda: sample_tables.news_events(spark, sf_dir), arrivals, work, f"{work}/checkpoint",
         ["conflict_heatmap"], once=True,
     ).awaitTermination()
     back = spark.read.parquet(f"{work}/conflict_heatmap")

@@ -146,6 +146,55 @@ def test_json_rows_are_limited_to_known_sets(spark):
             views.table_json({"conflict_heatmap": df, "pipeline_runs": df}, name)
 
 
+# s string, i int, l long, d double, t timestamp
+RESULT_SCHEMAS = {
+    "conflict_heatmap": "country s, date i, avg_goldstein d, event_count l, avg_mentions d",
+    "top_news_countries": "country s, date i, event_count l, rank i",
+    "tone_source_correlation": "country s, date i, avg_tone d, avg_sources d, tone_sources_correlation d, sample_size l",
+    "cameo_distribution": "EventRootCode s, event_description s, region s, date i, event_count l",
+    "actor_interaction_matrix": "actor1_type s, actor2_type s, event_count l, avg_goldstein d, avg_tone d",
+    "media_coverage_ratio": "country s, date i, total_mentions l, total_events l, mentions_per_event d",
+    "sentiment_trend": "country s, date i, avg_tone d, moving_avg_3d d",
+    "conflict_pairs": "actor1_country s, actor2_country s, date i, conflict_count l, avg_goldstein d",
+    "escalation_events":
+        "GlobalEventID l, mention_hour t, mentions_last_24h l, mentions_this_hour l, escalation_ratio d",
+    "religion_conflict_cluster": "religion s, region s, date i, event_count l, avg_goldstein d",
+    "gkg_themes_continent": "theme s, continent s, year s, mention_count l, rank i",
+    "top_organizations": "organization s, date s, mention_count l, rank i",
+    "tone_conflict_lag":
+        "country s, date i, today_avg_tone d, today_conflict_count l, tomorrow_conflict_count l",
+    "diplomatic_network":
+        "source_country s, target_country s, diplomatic_count l, conflict_count l, total_interactions l",
+    "source_diversity_index": "country s, date i, unique_sources l, total_mentions l, source_diversity_index d",
+    "ethnic_conflicts": "ethnicity s, date i, event_count l, avg_goldstein d",
+    "breaking_news": "GlobalEventID l, first_mention_time t, mentions_in_first_hour l, country s, date i",
+    "extreme_tone_events":
+        "GlobalEventID l, country s, ActionGeo_FullName s, EventRootCode s, QuadClass i, AvgTone d, NumMentions i, "
+        "Day i, tone_extreme_type s",
+    "top_article_coverage": "country s, total_articles l, avg_articles_per_event d, event_count l",
+}
+
+
+@pytest.mark.parametrize("name", list(ANALYSES))
+def test_result_schema(tables, name):
+    short = {"string": "s", "int": "i", "bigint": "l", "double": "d", "timestamp": "t"}
+    got = ", ".join(f"{column} {short[kind]}" for column, kind in ANALYSES[name].run(tables).dtypes)
+    assert got == RESULT_SCHEMAS[name]
+
+
+def test_streaming_commands(spark, tables, tmp_path, now, monkeypatch):
+    monkeypatch.setattr("wirepulse.session.create_session", lambda *_: spark)
+    places = ["--tables", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "ck")]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "1.mentions.csv").write_text("1\t\t20240101000000\n1\t\t20240101050000\n" * 3)
+    assert main(["stream", "ingest", "--raw", str(tmp_path / "raw"), *places, "--once"]) == 0
+    assert main(["stream", "escalation", *places, "--once"]) == 0
+    found = spark.read.parquet(str(tmp_path / "out" / "escalation_events"))
+    assert rows_of(found, "GlobalEventID", "mentions_this_hour") == [(1, 3)]
+    with pytest.raises(SystemExit):
+        build_parser().parse_args(["stream", "other", "--checkpoint", "x"])
+
+
 def test_command_line(spark, tables, tmp_path, now, monkeypatch):
     monkeypatch.setattr("wirepulse.session.create_session", lambda *_: spark)
     for name, df in tables.items():

@@ -90,8 +90,11 @@ def test_ingest_cycle(spark, tmp_path, now):
     assert landed.read_mentions(spark, out).count() == landed.read_gkg(spark, out).count() == 1
     landed.ingest(spark, str(tmp_path / "raw"), out, now + timedelta(hours=3), compact=True)
     assert rows_of(landed.read_gkg(spark, out), "ingest_hour") == [(15,)]
+    assert rows_of(landed.read_events(spark, out), "GlobalEventID") == [(None,), (None,), (1,)]
     landed.ingest(spark, str(tmp_path / "raw"), out, now + timedelta(hours=4), retention_hours=None)
     assert landed.read_gkg(spark, out).count() == 2
+    # Id 1 was landed an hour before; rows without an id cannot be told apart and stay.
+    assert rows_of(landed.read_events(spark, out), "GlobalEventID") == [(None,)] * 4 + [(1,)]
 
 
 def test_retention_is_exact_within_an_hour(spark, tmp_path, now):

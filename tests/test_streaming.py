@@ -135,7 +135,7 @@ def test_refresh_replaces_only_touched_days(spark, tmp_path, now):
         landed.land(table(spark, "events", list(rows)), "events", store, now)
         arrivals = spark.readStream.schema(landed_schema("events")).parquet(f"{store}/events")
         refresh.refresh_results_stream(
-            spark, landed.read_events(spark, store), arrivals, out, ck, once=True,
+            lambda: landed.read_events(spark, store), arrivals, out, ck, once=True,
         ).awaitTermination()
         return spark.read.parquet(f"{out}/conflict_heatmap")
 
@@ -152,3 +152,24 @@ def test_refresh_replaces_only_touched_days(spark, tmp_path, now):
     names = {a.result for a in refresh.daily_analyses()}
     assert "cameo_distribution" in names and "sentiment_trend" not in names
     assert all((tmp_path / "out" / name).exists() for name in names)
+
+
+def test_refresh_reads_the_history_anew_for_each_batch(spark, tmp_path, now):
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    for i in (1, 2):
+        row = {"GlobalEventID": i, "Day": 20240101, "DATEADDED": "20240101000000", "ActionGeo_CountryCode": "FR"}
+        landed.land(table(spark, "events", [row]), "events", store, now)
+    arrivals = (
+        spark.readStream.schema(landed_schema("events")).option("maxFilesPerTrigger", 1).parquet(f"{store}/events")
+    )
+    reads = []
+
+    def history():
+        reads.append(1)
+        return landed.read_events(spark, store)
+
+    refresh.refresh_results_stream(
+        history, arrivals, out, str(tmp_path / "ck"), ["media_coverage_ratio"], once=True,
+    ).awaitTermination()
+    assert len(reads) >= 2
+    assert rows_of(spark.read.parquet(f"{out}/media_coverage_ratio"), "total_events") == [(2,)]

@@ -1,4 +1,4 @@
-"""Command line: ``python -m wirepulse run|ingest|expire`` (also under spark-submit)."""
+"""Command line: ``python -m wirepulse run|ingest|expire|stream`` (also under spark-submit)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from wirepulse.plans.registry import GROUPS
-from wirepulse.schema import RAW_SCHEMAS
+from wirepulse.schema import RAW_SCHEMAS, landed_schema
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -17,7 +17,7 @@ def build_parser() -> argparse.ArgumentParser:
 
     run = commands.add_parser("run", help="run a group of analyses over landed tables")
     run.add_argument("--group", choices=("all", *GROUPS), default="all")
-    run.add_argument("--in", dest="parquet_dir", default=os.getenv("PARQUET_INPUT_DIR", "/data/parquet"))
+    run.add_argument("--in", "--parquet-dir", dest="parquet_dir", default=os.getenv("PARQUET_INPUT_DIR", "/data/parquet"))
     run.add_argument("--out", dest="out_dir", required=True)
     run.add_argument("--since", type=datetime.fromisoformat, help="only rows ingested since then (UTC)")
     run.add_argument("--format", dest="fmt", default="parquet")
@@ -35,9 +35,62 @@ def build_parser() -> argparse.ArgumentParser:
     expire = commands.add_parser("expire", help="remove landed rows past the retention")
     expire.add_argument("--out", dest="out_dir", default=os.getenv("PARQUET_OUTPUT_DIR", "/data/parquet"))
     expire.add_argument("--retention-hours", type=int, default=int(os.getenv("RAW_RETENTION_HOURS", "1")))
+
+    stream = commands.add_parser("stream", help="run one streaming job until it is stopped")
+    stream.add_argument("job", choices=sorted(STREAMS))
+    stream.add_argument("--raw", dest="raw_dir", help="raw files (ingest)")
+    stream.add_argument("--tables", dest="table_dir", default=os.getenv("PARQUET_OUTPUT_DIR", "/data/parquet"))
+    stream.add_argument("--out", dest="out_dir", help="results (all jobs but ingest)")
+    stream.add_argument("--checkpoint", dest="checkpoint_dir", required=True)
+    stream.add_argument("--once", action="store_true", help="process what is there and stop")
     return parser
 
 
+def _landed_stream(spark, args, table: str):
+    return spark.readStream.schema(landed_schema(table)).parquet(f"{args.table_dir}/{table}")
+
+
+def _stream_ingest(spark, args) -> list:
+    from wirepulse.streaming.ingest import ingest_stream
+
+    return [
+        ingest_stream(spark, args.raw_dir, args.table_dir, args.checkpoint_dir, table, once=args.once)
+        for table in RAW_SCHEMAS
+    ]
+
+
+def _stream_escalation(spark, args) -> list:
+    from wirepulse.streaming.detectors import run_escalation
+
+    mentions = _landed_stream(spark, args, "mentions")
+    return run_escalation(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once)
+
+
+def _stream_breaking(spark, args) -> list:
+    from wirepulse.streaming.detectors import run_breaking
+
+    mentions = _landed_stream(spark, args, "mentions")
+    return run_breaking(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once)
+
+
+def _stream_refresh(spark, args) -> list:
+    from wirepulse.sources.landed import read_events
+    from wirepulse.streaming.refresh import refresh_results_stream
+
+    return [refresh_results_stream(
+        lambda: read_events(spark, args.table_dir), _landed_stream(spark, args, "events"),
+        args.out_dir, args.checkpoint_dir, once=args.once,
+    )]
+
+
+STREAMS = {
+    "ingest": _stream_ingest,
+    "escalation": _stream_escalation,
+    "breaking": _stream_breaking,
+    "refresh": _stream_refresh,
+}
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     from wirepulse.plans.batch import run_group
     from wirepulse.session import create_session
@@ -55,6 +108,9 @@ def main(argv: Sequence[str] | None = None) -> int:
         print("\n".join(written))
     elif args.command == "ingest":
         ingest(spark, args.raw_dir, args.out_dir, now, args.retention_hours, args.compact)
+    elif args.command == "stream":
+        for query in STREAMS[args.job](spark, args):
+            query.awaitTermination()
     else:
         for table in RAW_SCHEMAS:
             expire(spark, args.out_dir, table, now, args.retention_hours)

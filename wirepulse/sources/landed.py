@@ -61,6 +61,11 @@ def distinct_events(df: DataFrame) -> DataFrame:
     return df.withColumn("_unnamed", unnamed).dropDuplicates(["GlobalEventID", "_unnamed"]).drop("_unnamed")
 
 
+def unseen_events(rows: DataFrame, landed_rows: DataFrame) -> DataFrame:
+    """Events whose id is not among the landed ones; rows without an id are all kept."""
+    return rows.join(landed_rows.select("GlobalEventID"), "GlobalEventID", "left_anti")
+
+
 def read_table(
     spark: SparkSession,
     parquet_dir: str,
@@ -145,6 +150,11 @@ def expire(spark: SparkSession, parquet_dir: str, table: str, now: datetime, hou
     return dropped
 
 
+def _has_files(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def ingest(
     spark: SparkSession,
     raw_dir: str,
@@ -152,16 +162,23 @@ def ingest(
     now: datetime,
     retention_hours: int | None = 1,
     compact: bool = False,
+    dedup_hours: int = 1,
 ) -> dict[str, int]:
-    """One ingest cycle: parse, coerce, de-duplicate events, land and expire each table."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    """One ingest cycle: parse, coerce, de-duplicate events, land and expire each table.
+
+    Events are dropped when their id came twice in this cycle or was landed in the last
+    ``dedup_hours`` hours. Returns the number of expired partitions per table.
+    """
     dropped = {}
     for table in RAW_SCHEMAS:
-        pattern = hadoop.Path(f"{raw_dir}/{file_pattern(table)}")
-        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.globStatus(pattern):
+        if not _has_files(spark, f"{raw_dir}/{file_pattern(table)}"):
             continue
         rows = read_raw(spark, raw_dir, table)
-        land(distinct_events(rows) if table == "events" else rows, table, out_dir, now, compact)
+        if table == "events":
+            rows = distinct_events(rows)
+            if dedup_hours and _has_files(spark, f"{out_dir}/events"):
+                since = utc(now) - timedelta(hours=dedup_hours)
+                rows = unseen_events(rows, read_events(spark, out_dir, since))
+        land(rows, table, out_dir, now, compact)
         dropped[table] = expire(spark, out_dir, table, now, retention_hours) if retention_hours else 0
     return dropped

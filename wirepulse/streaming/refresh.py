@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -62,8 +64,7 @@ def refresh_days(history: DataFrame, arrived: DataFrame, out_dir: str, analyses:
 
 
 def refresh_results_stream(
-    spark: SparkSession,
-    history: DataFrame,
+    history: Callable[[], DataFrame],
     arrivals: DataFrame,
     out_dir: str,
     checkpoint_dir: str,
@@ -73,13 +74,13 @@ def refresh_results_stream(
 ) -> StreamingQuery:
     """Refresh daily result sets for each micro-batch of landed events.
 
-    ``history`` is the batch read of the table that ``arrivals`` streams. Analyses that
-    look across days are not refreshed here.
+    ``history`` reads the table that ``arrivals`` streams; it is called for every batch, as a
+    read lists its files only once. Analyses that look across days are not refreshed here.
     """
     chosen = [a for a in daily_analyses() if results is None or a.result in results]
 
     def refresh(batch: DataFrame, _batch_id: int) -> None:
-        refresh_days(history, batch, out_dir, chosen)
+        refresh_days(history(), batch, out_dir, chosen)
 
     writer = (
         arrivals.writeStream.foreachBatch(refresh)
