@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 
@@ -73,6 +74,7 @@ def test_run_writes_every_result_and_logs(spark, tables, tmp_path):
     assert rows_of(results.run_log(spark, out), "status", "failed") == [("success", None)]
     batch.run_analyses(spark, tables, out, "conflicts", share=False)
     assert results.run_log(spark, out).count() == 2
+    assert not list(Path(shared_dir(spark)).glob("wirepulse/rollups-*"))
     again = results.read_result(spark, out, "conflict_heatmap")
     assert again.count() == counts["conflict_heatmap"]
 
@@ -111,6 +113,17 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_a_failure_while_building_is_logged_too(spark, tables, tmp_path, monkeypatch):
+    def broken(_events):
+        raise ValueError("no")
+
+    bad = Analysis("A05", "actor_interaction_matrix", "sentiment", ("events",), broken, ())
+    monkeypatch.setitem(ANALYSES, "actor_interaction_matrix", bad)
+    with pytest.raises(batch.RunFailed, match="actor_interaction_matrix"):
+        batch.run_analyses(spark, tables, str(tmp_path), "sentiment")
+    assert results.run_log(spark, str(tmp_path)).first()["status"] == "failed"
+
+
 def test_top_view(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, g long")
     assert rows_of(views.top_view(df, ("-g", "id"), 2, where="id > 2", cols=["id"])) == [(5,), (8,)]

@@ -173,3 +173,17 @@ def test_refresh_reads_the_history_anew_for_each_batch(spark, tmp_path, now):
     ).awaitTermination()
     assert len(reads) >= 2
     assert rows_of(spark.read.parquet(f"{out}/media_coverage_ratio"), "total_events") == [(2,)]
+
+
+def test_both_stages_run_continuously_from_an_empty_start(spark, tmp_path):
+    stream = mention_stream(spark, tmp_path, [[(1, stamp(0))] * 3, [(1, stamp(9))]])
+    out, ck = str(tmp_path / "not" / "there"), str(tmp_path / "ck")
+    queries = detectors.run_breaking(spark, stream, out, ck) + detectors.run_escalation(spark, stream, out, ck)
+    try:
+        deadline = time.time() + 60
+        while any(query.lastProgress is None for query in queries[::2]) and time.time() < deadline:
+            time.sleep(1)
+        assert all(query.isActive and query.exception() is None for query in queries)
+    finally:
+        for query in queries:
+            query.stop()

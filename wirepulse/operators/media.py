@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wirepulse.functions.columns import filled, published_date, stamp_number, wall_clock
 from wirepulse.operators.ranking import keep_top_ranked
 from wirepulse.operators.rollups import country_day, country_event_day
-from wirepulse.session import materialise
+from wirepulse.session import materialise, scratch_path
 
 
 def top_news_countries(events: DataFrame, *, k: int = 10) -> DataFrame:
@@ -117,7 +117,9 @@ def breaking_news(
     the join is planned, so a short list is broadcast to the events and a long one is not.
     """
     bursts = first_hour_bursts(mentions, threshold=threshold, horizon=horizon)
-    return locate_bursts(materialise(bursts, "bursts") if staged else bursts, events)
+    if staged:
+        bursts = materialise(bursts, scratch_path(bursts.sparkSession, "bursts"))
+    return locate_bursts(bursts, events)
 
 
 def locate_bursts(bursts: DataFrame, events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wirepulse.operators.rollups import ROLLUPS
 from wirepulse.plans.registry import SHARED_COLUMNS, Analysis, in_group
 from wirepulse.plans.results import record_run, write_result
-from wirepulse.session import materialise
+from wirepulse.session import materialise, scratch_folder
 from wirepulse.sources.landed import read_tables, shared_input
 
 
@@ -20,7 +20,7 @@ class RunFailed(RuntimeError):
     """Some analyses of a run failed; the others were written."""
 
 
-def shared_rollups(analyses: list[Analysis], events: DataFrame) -> dict[str, DataFrame]:
+def shared_rollups(analyses: list[Analysis], events: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Write each rollup that at least two of the analyses read.
 
     A rollup holds one row per key and day, and replaces one scan of the events per
@@ -29,23 +29,16 @@ def shared_rollups(analyses: list[Analysis], events: DataFrame) -> dict[str, Dat
     """
     readers = Counter(analysis.rollup for analysis in analyses if analysis.rollup)
     return {
-        name: materialise(ROLLUPS[name](events), name)
+        name: materialise(ROLLUPS[name](events), f"{folder}/{name}")
         for name, count in readers.items() if count > 1
     }
 
 
-def result_frames(
-    analyses: list[Analysis],
-    tables: dict[str, DataFrame],
-    rollups: dict[str, DataFrame],
-) -> dict[str, DataFrame]:
-    return {
-        analysis.result: (
-            analysis.from_rollup(rollups[analysis.rollup])
-            if analysis.rollup in rollups else analysis.run(tables)
-        )
-        for analysis in analyses
-    }
+def result_frame(analysis: Analysis, tables: dict[str, DataFrame], rollups: dict[str, DataFrame]) -> DataFrame:
+    """The analysis on its rollup where that was written, else on its inputs."""
+    if analysis.rollup in rollups:
+        return analysis.from_rollup(rollups[analysis.rollup])
+    return analysis.run(tables)
 
 
 def run_analyses(
@@ -71,28 +64,36 @@ def run_analyses(
     analyses = in_group(group)
     if cache:
         tables = tables | {name: shared_input(tables[name], columns) for name, columns in SHARED_COLUMNS.items()}
-    rollups = shared_rollups(analyses, tables["events"]) if share else {}
-    frames = result_frames(analyses, tables, rollups)
-    order = {analysis.result: analysis.order if ordered else () for analysis in analyses}
 
-    def write(name: str) -> Exception | None:
+    def write(analysis: Analysis) -> Exception | None:
         try:
-            write_result(frames[name], name, out_dir, fmt=fmt, sort=order[name], options=options)
+            frame = result_frame(analysis, tables, rollups)
+            order = analysis.order if ordered else ()
+            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options)
         except Exception as error:  # noqa: BLE001  (reported below, with the run logged)
             return error
         return None
 
-    with ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
-        outcome = dict(zip(frames, pool.map(write, frames), strict=True))
-    if cache:
-        for name in SHARED_COLUMNS:
-            tables[name].unpersist()
-    errors = {name: error for name, error in outcome.items() if error is not None}
-    record_run(spark, out_dir, f"{group}-{uuid.uuid4().hex}", started, datetime.now(timezone.utc), sorted(errors))
+    def log(failed: list[str]) -> None:
+        record_run(spark, out_dir, f"{group}-{uuid.uuid4().hex}", started, datetime.now(timezone.utc), failed)
+
+    try:
+        with scratch_folder(spark, "rollups") as folder, ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
+            rollups = shared_rollups(analyses, tables["events"], folder) if share else {}
+            outcome = dict(zip(analyses, pool.map(write, analyses), strict=True))
+    except Exception:
+        log([analysis.result for analysis in analyses])
+        raise
+    finally:
+        if cache:
+            for name in SHARED_COLUMNS:
+                tables[name].unpersist()
+    errors = {analysis.result: error for analysis, error in outcome.items() if error is not None}
+    log(sorted(errors))
     if errors:
         name, error = next(iter(errors.items()))
-        raise RunFailed(f"{len(errors)} of {len(frames)} analyses failed, first {name}: {error}") from error
-    return list(frames)
+        raise RunFailed(f"{len(errors)} of {len(analyses)} analyses failed, first {name}: {error}") from error
+    return [analysis.result for analysis in analyses]
 
 
 def run_group(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -51,11 +53,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wirepulse/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df, label: str):
+def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write an intermediate table once and read it back, which cuts its lineage.
 
-    A lost executor then re-reads the table instead of recomputing the scans behind it.
+    A lost executor then re-reads the table instead of recomputing the scans behind it, and
+    joins with it are planned from its known size.
     """
-    path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A fresh folder for intermediate tables, removed when its user is done."""
+    folder = scratch_path(spark, label)
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wirepulse.functions.columns import published_date
-from wirepulse.plans.batch import result_frames, shared_rollups
+from wirepulse.plans.batch import result_frame, shared_rollups
 from wirepulse.plans.registry import ANALYSES, Analysis
 from wirepulse.plans.results import write_days
-from wirepulse.session import materialise
+from wirepulse.session import materialise, scratch_folder
 from wirepulse.streaming.ingest import start
 
 DAY_COLUMNS = {"published": published_date, "event": lambda: F.col("Day")}
@@ -56,11 +56,12 @@ def refresh_days(history: DataFrame, arrived: DataFrame, out_dir: str, analyses:
         chosen = [analysis for analysis in analyses if analysis.day_of == day_of]
         if not chosen:
             continue
-        days = materialise(arrived.select(day().alias("_day")).distinct(), "days")
-        touched = events_of_days(history, days, day_of)
-        frames = result_frames(chosen, {"events": touched}, shared_rollups(chosen, touched))
-        for name, frame in frames.items():
-            write_days(frame, name, out_dir)
+        with scratch_folder(history.sparkSession, "refresh") as folder:
+            days = materialise(arrived.select(day().alias("_day")).distinct(), f"{folder}/days")
+            touched = events_of_days(history, days, day_of)
+            rollups = shared_rollups(chosen, touched, folder)
+            for analysis in chosen:
+                write_days(result_frame(analysis, {"events": touched}, rollups), analysis.result, out_dir)
 
 
 def refresh_results_stream(
