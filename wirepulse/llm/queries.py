@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirepulse.llm import quality_rules
+from wirepulse.llm import mixing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,15 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_measures(_table(spark, sf_dir, "documents"))
 
 
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_mix_sources": mix,
     "op8_quality_rules": quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": mixing.ORACLE_SQL,
+}
