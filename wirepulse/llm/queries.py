@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirepulse.llm import mixing, quality_rules
+from wirepulse.llm import decontamination, mixing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,15 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_report(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix,
+    "op7_decontaminate": decontaminate,
     "op8_quality_rules": quality,
 }
 
