@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirepulse.llm import decontamination, mixing, quality_rules
+from wirepulse.llm import decontamination, mixing, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +29,13 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix,
+    "op6_near_dedup": near,
     "op7_decontaminate": decontaminate,
     "op8_quality_rules": quality,
 }
