@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirepulse.llm import decontamination, mixing, near_dedup, quality_rules
+from wirepulse.llm import decontamination, mixing, near_dedup, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,13 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix,
+    "op4_token_files": tokens,
     "op6_near_dedup": near,
     "op7_decontaminate": decontaminate,
     "op8_quality_rules": quality,
