@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirepulse.llm import decontamination, mixing, near_dedup, quality_rules, token_files
+from wirepulse.llm import (
+    decontamination,
+    license_scan,
+    mixing,
+    near_dedup,
+    pii,
+    quality_rules,
+    secret_scan,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +46,24 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(_table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_pii": personal_data,
     "op2_mix_sources": mix,
+    "op3_secrets": secrets,
     "op4_token_files": tokens,
+    "op5_licenses": licenses,
     "op6_near_dedup": near,
     "op7_decontaminate": decontaminate,
     "op8_quality_rules": quality,
