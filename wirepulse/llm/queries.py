@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from wirepulse.llm import (
     decontamination,
     license_scan,
+    lm_scoring,
     mixing,
     near_dedup,
     pii,
+    quality_classifier,
     quality_rules,
     secret_scan,
     token_files,
@@ -58,6 +60,16 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(_table(spark, sf_dir, "documents"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality_classifier.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return quality_classifier.quality_scores(docs, trees)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_mix_sources": mix,
@@ -67,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "op6_near_dedup": near,
     "op7_decontaminate": decontaminate,
     "op8_quality_rules": quality,
+    "op9_lm_scoring": language_model,
+    "op10_quality_classifier": classified,
 }
 
 ORACLE_SQL: dict[str, str] = {
