@@ -223,7 +223,9 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = -(-size // chunk_bytes) or 1
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")
-    dealt = docs.select(chunk, "doc_id", "text").repartition(n_chunks, "chunk").groupBy("chunk")
+    # No fewer partitions than Spark would make, or it would deal the texts out once more.
+    n_parts = max(n_chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.select(chunk, "doc_id", "text").repartition(n_parts, "chunk").groupBy("chunk")
 
     per_word = Window.partitionBy("word")
     words = dealt.applyInArrow(_chunk_words, NEEDS).select(
@@ -238,7 +240,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     )
     known = words.unionByName(codes)
     # Dealt like the texts, so that these stay where they are.
-    known = known.repartition(n_chunks, "chunk").groupBy("chunk")
+    known = known.repartition(n_parts, "chunk").groupBy("chunk")
     scored = dealt.cogroup(known).applyInArrow(_score_chunk, SCORED)
     scored = materialise(scored, scratch_path(spark, "lm-scored"))
     total = scored.agg(F.sum("train_tokens"), F.sum("new_words")).first()
