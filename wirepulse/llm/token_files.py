@@ -27,8 +27,8 @@ SPECIAL = "<|endoftext|>"
 
 #: Ids in a block; a longer document makes a longer block.
 BLOCK_IDS = 1 << 19
-#: Distinct pieces of text whose ids a worker remembers; it then starts anew.
-REMEMBERED = 400_000
+#: Distinct pieces of text in one generation of a worker's memory; it keeps two.
+REMEMBERED = 600_000
 
 TABLE = "part long, block long, doc_ids array<long>, lengths array<long>, n_ids long, data binary"
 DOCUMENTS = "part long, block long, place long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -45,9 +45,10 @@ class Encoder:
 
     Such a vocabulary never joins bytes across a single space between two other
     characters: the space starts a new piece. So texts are cut there, every distinct piece
-    is encoded by the library once, and texts are put together from the pieces' ids. Texts
-    with other runs of white space around a space, or with the special token's name, are
-    encoded whole.
+    is encoded by the library once, and texts are put together from the pieces' ids. A new
+    piece is cut once more, at line ends and before a last mark, which stand alone too.
+    Texts with other runs of white space around a space, or with the special token's name,
+    are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,6 +57,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -64,17 +66,51 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         cut = [self._pieces(text) for text in texts]
-        fresh = {piece for pieces in cut if pieces for piece in pieces if piece not in self.known}
+        known = self.known
+        found = [list(map(known.get, pieces or ())) for pieces in cut]
+        fresh = {p for pieces, ids in zip(cut, found, strict=True) if None in ids for p, one in zip(pieces, ids, strict=True) if one is None}
         odd = {piece for piece in fresh if piece.isspace() or piece[-1].isspace() or piece[1:2].isspace()}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = {piece for pieces in cut if pieces for piece in pieces}
-        fresh = list(fresh - odd)
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+        self._learn(fresh - odd)
         whole = [at for at, pieces in enumerate(cut) if pieces is None or (odd and not odd.isdisjoint(pieces))]
         out = dict(zip(whole, self._encode([texts[at] for at in whole]), strict=True))
-        known = self.known
-        return [out[at] if at in out else b"".join([known[p] for p in pieces or ()]) for at, pieces in enumerate(cut)]
+        coded = []
+        for at, (pieces, ids) in enumerate(zip(cut, found, strict=True)):
+            if at in out:
+                coded.append(out[at])
+            elif None in ids:
+                coded.append(b"".join([known[p] if one is None else one for p, one in zip(pieces, ids, strict=True)]))
+            else:
+                coded.append(b"".join(ids))
+        if len(known) > REMEMBERED:
+            self.known, self.before = {}, known
+        return coded
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, before = self.known, self.before
+        atoms = {piece: self._atoms(piece) for piece in pieces if piece not in before}
+        known.update((piece, before[piece]) for piece in pieces if piece in before)
+        fresh = {atom for parts in atoms.values() for atom in parts if atom not in known}
+        known.update((atom, before[atom]) for atom in fresh if atom in before)
+        fresh = [atom for atom in fresh if atom not in before]
+        known.update(zip(fresh, self._encode(fresh), strict=True))
+        for piece, parts in atoms.items():
+            if len(parts) > 1:
+                known[piece] = b"".join([known[atom] for atom in parts])
+
+    @staticmethod
+    def _atoms(piece: str) -> list[str]:
+        lines = piece.split("\n")
+        if len(lines) > 1 and any(not line or line[0].isspace() or line[-1].isspace() for line in (lines[0][1:], *lines[1:])):
+            return [piece]
+        atoms = []
+        for at, line in enumerate(lines):
+            if at:
+                atoms.append("\n")
+            if len(line) > 2 and line[-1] in ".,;:!?" and line[-2].isalpha():
+                atoms += [line[:-1], line[-1]]
+            else:
+                atoms.append(line)
+        return atoms
 
     @staticmethod
     def _pieces(text: str) -> list[str] | None:
