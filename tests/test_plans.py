@@ -8,6 +8,7 @@ import pytest
 
 from tests.conftest import plan_of, table
 from wirepulse.operators import media
+from wirepulse.session import materialise, scratch_path
 from wirepulse.plans.registry import ANALYSES, SHARED_COLUMNS
 from wirepulse.sources import landed
 from wirepulse.streaming import refresh
@@ -81,7 +82,8 @@ def test_only_fixed_tables_are_broadcast_unasked(plans):
 
 def test_staged_bursts_are_broadcast_only_by_size(spark, tables):
     def plan():
-        return plan_of(media.breaking_news(tables["mentions"], tables["events"], staged=True))
+        bursts = materialise(media.first_hour_bursts(tables["mentions"]), scratch_path(spark, "bursts"))
+        return plan_of(media.locate_bursts(bursts, tables["events"]))
 
     assert "LeftSemi, BuildRight" in plan()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -105,7 +107,17 @@ def test_refresh_prunes_history_by_day(spark, tables):
     assert "GreaterThanOrEqual(DATEADDED,20240101)" in plan and "LessThan(DATEADDED,20240103:)" in plan
     odd = spark.createDataFrame([(20240101,), (None,)], "_day int")
     plan = plan_of(refresh.events_of_days(tables["events"], odd, "published"))
-    assert "20240101" not in plan
+    assert "GreaterThanOrEqual(DATEADDED,20240101)" in plan
+
+
+def test_refresh_reads_exact_days_years_apart(spark, tables):
+    days = spark.createDataFrame([(20140101,), (20240103,), (None,)], "_day int")
+    touched = refresh.events_of_days(tables["events"], days, "event")
+    plan = touched._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "20140101" in pushed and "20240103" in pushed and "IsNull(Day)" in pushed
 
 
 def test_shared_columns_cover_the_inputs(tables):

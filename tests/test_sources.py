@@ -88,13 +88,54 @@ def test_ingest_cycle(spark, tmp_path, now):
     assert rows_of(events, "GlobalEventID", "Day") == [(None, 1), (None, 2), (1, 20240229)]
     assert rows_of(events.select("ingest_date", "ingest_hour").distinct()) == [(date(2024, 3, 5), 12)]
     assert landed.read_mentions(spark, out).count() == landed.read_gkg(spark, out).count() == 1
+    # The same files again: nothing is landed, and what is old goes all the same.
+    landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    assert landed.read_gkg(spark, out).count() == 1 and landed.read_events(spark, out).count() == 3
+    again = tmp_path / "raw" / "20240305151500.GKG.csv"
+    again.write_text(line("gkg", GKGRECORDID="g2") + "\n" + line("gkg", GKGRECORDID="g3") + "\tmore\n")
     landed.ingest(spark, str(tmp_path / "raw"), out, now + timedelta(hours=3), compact=True)
-    assert rows_of(landed.read_gkg(spark, out), "ingest_hour") == [(15,)]
-    assert rows_of(landed.read_events(spark, out), "GlobalEventID") == [(None,), (None,), (1,)]
-    landed.ingest(spark, str(tmp_path / "raw"), out, now + timedelta(hours=4), retention_hours=None)
-    assert landed.read_gkg(spark, out).count() == 2
-    # Id 1 was landed an hour before; rows without an id cannot be told apart and stay.
-    assert rows_of(landed.read_events(spark, out), "GlobalEventID") == [(None,)] * 4 + [(1,)]
+    assert rows_of(landed.read_gkg(spark, out), "GKGRECORDID", "ingest_hour") == [("g2", 15)]
+    assert landed.read_events(spark, out).count() == landed.read_mentions(spark, out).count() == 0
+    log = spark.read.parquet(f"{out}/{landed.INGEST_LOG}").where("table = 'gkg'")
+    assert rows_of(log, "files", "lines", "over_long") == [(1, 1, 0), (1, 2, 1)]
+
+
+def test_events_landed_before_are_known_as_long_as_they_are_kept(spark, tmp_path, now):
+    write_raw(tmp_path / "raw")
+    out = str(tmp_path / "out")
+    landed.ingest(spark, str(tmp_path / "raw"), out, now, retention_hours=6)
+    (tmp_path / "raw" / "20240305160000.export.CSV").write_text(line("events", GlobalEventID="1") + "\n" + line("events", GlobalEventID="2") + "\n")
+    landed.ingest(spark, str(tmp_path / "raw"), out, now + timedelta(hours=4), retention_hours=6)
+    assert rows_of(landed.read_events(spark, out).where("GlobalEventID > 0"), "GlobalEventID") == [(1,), (2,)]
+
+
+@pytest.mark.parametrize("moved", ["nothing", "rows"])
+def test_landing_broken_off_is_brought_to_its_end(spark, tmp_path, now, moved, monkeypatch):
+    write_raw(tmp_path / "raw")
+    out = str(tmp_path / "out")
+    with monkeypatch.context() as patch:
+        move = landed._move_files
+
+        def broken(spark, source, target):
+            if moved == "rows" and source.endswith("rows"):
+                return move(spark, source, target)
+            raise KeyboardInterrupt
+
+        patch.setattr(landed, "_move_files", broken)
+        with pytest.raises(KeyboardInterrupt):
+            landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    assert landed.read_events(spark, out).count() == 3
+    assert landed.read_mentions(spark, out).count() == landed.read_gkg(spark, out).count() == 1
+
+
+def test_archives_are_refused(spark, tmp_path, now):
+    write_raw(tmp_path / "raw")
+    (tmp_path / "raw" / "20240305130000.export.CSV.zip").write_bytes(b"PK\x03\x04")
+    with pytest.raises(raw.UnreadableFiles, match="export.CSV.zip"):
+        landed.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "out"), now)
+    with pytest.raises(raw.UnreadableFiles):
+        raw.read_raw(spark, str(tmp_path / "raw"), "events")
 
 
 def test_retention_is_exact_within_an_hour(spark, tmp_path, now):

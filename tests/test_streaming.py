@@ -46,7 +46,7 @@ def test_ingest_drops_repeats_across_files_and_runs(spark, tmp_path):
 
 def test_ingest_without_salting(spark, tmp_path):
     drop(tmp_path / "raw", "1.export.CSV", *[event_line(i % 3) for i in range(9)])
-    ingest_once(spark, tmp_path, salts=1, retention="1h")
+    ingest_once(spark, tmp_path, salts=1, retention_hours=1)
     assert landed.read_events(spark, str(tmp_path / "out")).count() == 3
 
 

@@ -42,6 +42,9 @@ def build_parser() -> argparse.ArgumentParser:
     stream.add_argument("--tables", dest="table_dir", default=os.getenv("PARQUET_OUTPUT_DIR", "/data/parquet"))
     stream.add_argument("--out", dest="out_dir", help="results (all jobs but ingest)")
     stream.add_argument("--checkpoint", dest="checkpoint_dir", required=True)
+    stream.add_argument("--retention-hours", type=int, default=int(os.getenv("RAW_RETENTION_HOURS", "1")),
+                        help="how long landed rows are kept (ingest) and repeated event ids are known")
+    stream.add_argument("--forget-hours", type=int, default=7 * 24, help="how long the detectors remember an event")
     stream.add_argument("--once", action="store_true", help="process what is there and stop")
     return parser
 
@@ -54,7 +57,8 @@ def _stream_ingest(spark, args) -> list:
     from wirepulse.streaming.ingest import ingest_stream
 
     return [
-        ingest_stream(spark, args.raw_dir, args.table_dir, args.checkpoint_dir, table, once=args.once)
+        ingest_stream(spark, args.raw_dir, args.table_dir, args.checkpoint_dir, table,
+                      within=f"{args.retention_hours} hours", retention_hours=args.retention_hours, once=args.once)
         for table in RAW_SCHEMAS
     ]
 
@@ -63,14 +67,16 @@ def _stream_escalation(spark, args) -> list:
     from wirepulse.streaming.detectors import run_escalation
 
     mentions = _landed_stream(spark, args, "mentions")
-    return run_escalation(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once)
+    forget = args.forget_hours * 3600
+    return run_escalation(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once, forget_seconds=forget)
 
 
 def _stream_breaking(spark, args) -> list:
     from wirepulse.streaming.detectors import run_breaking
 
     mentions = _landed_stream(spark, args, "mentions")
-    return run_breaking(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once)
+    forget = args.forget_hours * 3600
+    return run_breaking(spark, mentions, args.out_dir, args.checkpoint_dir, once=args.once, forget_seconds=forget)
 
 
 def _stream_refresh(spark, args) -> list:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wirepulse.functions.columns import filled, published_date, stamp_number, wall_clock
 from wirepulse.operators.ranking import keep_top_ranked
 from wirepulse.operators.rollups import country_day, country_event_day
-from wirepulse.session import materialise, scratch_path
 
 
 def top_news_countries(events: DataFrame, *, k: int = 10) -> DataFrame:
@@ -92,6 +91,7 @@ def first_hour_bursts(mentions: DataFrame, *, threshold: int = 100, horizon: str
         .groupBy("GlobalEventID", stamp_number("MentionTimeDate").alias("stamp"))
         .agg(F.count(F.lit(1)).alias("mentions"))
         .select("GlobalEventID", wall_clock(F.col("stamp")).alias("at"), "mentions")
+        .where(F.col("at").isNotNull())
     )
     first = F.min("at").over(Window.partitionBy("GlobalEventID"))
     return (
@@ -109,17 +109,13 @@ def breaking_news(
     *,
     threshold: int = 100,
     horizon: str = "1 hour",
-    staged: bool = False,
 ) -> DataFrame:
     """Bursts with the country and date of their event, null when the event is unknown.
 
-    ``staged`` first writes the bursts to the shared folder. Their size is then known when
-    the join is planned, so a short list is broadcast to the events and a long one is not.
+    A run writes the bursts first. Their size is then known when the join is planned, so a
+    short list is broadcast to the events and a long one is not.
     """
-    bursts = first_hour_bursts(mentions, threshold=threshold, horizon=horizon)
-    if staged:
-        bursts = materialise(bursts, scratch_path(bursts.sparkSession, "bursts"))
-    return locate_bursts(bursts, events)
+    return locate_bursts(first_hour_bursts(mentions, threshold=threshold, horizon=horizon), events)
 
 
 def locate_bursts(bursts: DataFrame, events: DataFrame) -> DataFrame:

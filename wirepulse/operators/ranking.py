@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,9 @@ from pyspark.sql import functions as F
 def keep_top_ranked(counted: DataFrame, within: list[str], measure: str, k: int) -> DataFrame:
     """Rows whose SQL ``rank()`` by descending ``measure`` in their group is at most ``k``.
 
-    A rank window over the rows would bring a whole group into one task, however many rows
-    share its key. Here the window runs over the distinct values of the measure only, each
-    with its number of rows: the rank of a value is one plus the rows above it. At most
-    ``k`` values per group survive, and the rows are then picked by a join on group and
-    value that Spark may broadcast or split, whichever the measured sizes call for.
+    As the rank filter stands directly above the window, Spark drops rows of a local rank
+    beyond ``k`` in every task before the shuffle (a window group limit). What is shuffled
+    is ``k`` rows and their ties per task and group, however many rows a group has.
     """
-    levels = counted.groupBy(*within, measure).agg(F.count(F.lit(1)).alias("_peers"))
-    above = (
-        Window.partitionBy(*within)
-        .orderBy(F.desc(measure))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = levels.select(
-        *[F.col(name).alias(f"_{name}") for name in [*within, measure]],
-        (F.coalesce(F.sum("_peers").over(above), F.lit(0)) + 1).cast("int").alias("rank"),
-    ).where(F.col("rank") <= k)
-    same = reduce(
-        lambda left, right: left & right,
-        [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in [*within, measure]],
-    )
-    return counted.join(ranked, same, "inner").select(*counted.columns, "rank")
+    order = Window.partitionBy(*within).orderBy(F.desc(measure))
+    return counted.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= k).select(*counted.columns, "rank")

@@ -49,8 +49,11 @@ def tone_conflict_lag(events: DataFrame, *, conflict_quad: int = 3) -> DataFrame
 
 
 def lag_from(rollup: DataFrame) -> DataFrame:
-    """One row per country and day exists, so the next row is the only match there can be."""
-    ahead = Window.partitionBy("country").orderBy("date")
+    """One row per country and date exists, so by calendar day the next row is the only match.
+
+    Dates that are no calendar day order as null, first, and so stand between no two days.
+    """
+    ahead = Window.partitionBy("country").orderBy("day")
     follows = F.lead("day").over(ahead) == F.date_add("day", 1)
     return (
         rollup.select(

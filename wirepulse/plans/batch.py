@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
@@ -20,7 +21,7 @@ class RunFailed(RuntimeError):
     """Some analyses of a run failed; the others were written."""
 
 
-def shared_rollups(analyses: list[Analysis], events: DataFrame, folder: str) -> dict[str, DataFrame]:
+def shared_rollups(analyses: list[Analysis], events: DataFrame | None, folder: str) -> dict[str, DataFrame]:
     """Write each rollup that at least two of the analyses read.
 
     A rollup holds one row per key and day, and replaces one scan of the events per
@@ -34,16 +35,28 @@ def shared_rollups(analyses: list[Analysis], events: DataFrame, folder: str) ->
     }
 
 
-def result_frame(analysis: Analysis, tables: dict[str, DataFrame], rollups: dict[str, DataFrame]) -> DataFrame:
-    """The analysis on its rollup where that was written, else on its inputs."""
+def result_frame(
+    analysis: Analysis,
+    tables: dict[str, DataFrame],
+    rollups: dict[str, DataFrame],
+    folder: str | None = None,
+) -> DataFrame:
+    """The analysis on its rollup where that was written, else on its inputs.
+
+    An analysis with a first part has that written to ``folder``, so that its size is known
+    when the rest is planned.
+    """
     if analysis.rollup in rollups:
         return analysis.from_rollup(rollups[analysis.rollup])
+    if analysis.first and folder:
+        first = materialise(analysis.first(tables), f"{folder}/{analysis.result}")
+        return analysis.from_first(first, tables)
     return analysis.run(tables)
 
 
 def run_analyses(
     spark: SparkSession,
-    tables: dict[str, DataFrame],
+    tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]],
     out_dir: str,
     group: str = "all",
     *,
@@ -59,17 +72,18 @@ def run_analyses(
     The jobs are independent, so several are submitted at once and share the cluster. A
     failing analysis does not stop the others; the run is logged either way. ``cache`` keeps
     the columns that the analyses read, for inputs that fit the cluster's memory and disks.
+    ``tables`` may be a function that reads them; its failure is logged as well.
     """
     started = datetime.now(timezone.utc)
     analyses = in_group(group)
-    if cache:
-        tables = tables | {name: shared_input(tables[name], columns) for name, columns in SHARED_COLUMNS.items()}
+    cached: dict[str, DataFrame] = {}
 
     def write(analysis: Analysis) -> Exception | None:
         try:
-            frame = result_frame(analysis, tables, rollups)
+            frame = result_frame(analysis, read, rollups, folder)
             order = analysis.order if ordered else ()
-            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options)
+            by_day = analysis.day_of is not None
+            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options, by_day=by_day)
         except Exception as error:  # noqa: BLE001  (reported below, with the run logged)
             return error
         return None
@@ -78,16 +92,19 @@ def run_analyses(
         record_run(spark, out_dir, f"{group}-{uuid.uuid4().hex}", started, datetime.now(timezone.utc), failed)
 
     try:
+        read = tables() if callable(tables) else tables
+        if cache:
+            cached = {name: shared_input(read[name], columns) for name, columns in SHARED_COLUMNS.items() if name in read}
+            read = read | cached
         with scratch_folder(spark, "rollups") as folder, ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
-            rollups = shared_rollups(analyses, tables["events"], folder) if share else {}
+            rollups = shared_rollups(analyses, read.get("events"), folder) if share else {}
             outcome = dict(zip(analyses, pool.map(write, analyses), strict=True))
     except Exception:
         log([analysis.result for analysis in analyses])
         raise
     finally:
-        if cache:
-            for name in SHARED_COLUMNS:
-                tables[name].unpersist()
+        for df in cached.values():
+            df.unpersist()
     errors = {analysis.result: error for analysis, error in outcome.items() if error is not None}
     log(sorted(errors))
     if errors:
@@ -104,5 +121,9 @@ def run_group(
     since: datetime | None = None,
     **settings,
 ) -> list[str]:
-    """Run a group over landed tables; ``since`` limits the scan to recent ingest partitions."""
-    return run_analyses(spark, read_tables(spark, parquet_dir, since), out_dir, group, **settings)
+    """Run a group over landed tables; ``since`` limits the scan to recent ingest partitions.
+
+    Only the tables that the group's analyses read need to be there.
+    """
+    names = sorted({name for analysis in in_group(group) for name in analysis.inputs})
+    return run_analyses(spark, lambda: read_tables(spark, parquet_dir, since, names), out_dir, group, **settings)

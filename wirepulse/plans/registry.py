@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +18,8 @@ class Analysis:
 
     ``from_rollup`` derives the same result from a shared rollup. ``day_of`` names the day
     column of an analysis whose rows for one day depend on that day's events alone:
-    ``published`` or ``event``.
+    ``published`` or ``event``. ``first`` is a part that a run writes before it plans the
+    rest, ``from_first``.
     """
 
     key: str
@@ -31,6 +31,8 @@ class Analysis:
     rollup: str | None = None
     from_rollup: Callable[[DataFrame], DataFrame] | None = None
     day_of: str | None = None
+    first: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    from_first: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = None
 
     def run(self, tables: dict[str, DataFrame]) -> DataFrame:
         return self.build(*[tables[name] for name in self.inputs])
@@ -73,8 +75,10 @@ ANALYSES: dict[str, Analysis] = {
                  ("-source_diversity_index",)),
         Analysis("A16", "ethnic_conflicts", "conflicts", _EVENTS, conflict.ethnic_conflicts,
                  ("-event_count",), day_of="event"),
-        Analysis("A17", "breaking_news", "media", ("mentions", "events"), partial(media.breaking_news, staged=True),
-                 ("-mentions_in_first_hour",)),
+        Analysis("A17", "breaking_news", "media", ("mentions", "events"), media.breaking_news,
+                 ("-mentions_in_first_hour",),
+                 first=lambda tables: media.first_hour_bursts(tables["mentions"]),
+                 from_first=lambda bursts, tables: media.locate_bursts(bursts, tables["events"])),
         Analysis("A18", "extreme_tone_events", "sentiment", _EVENTS, sentiment.extreme_tone_events,
                  ("-tone_extreme_type", "AvgTone")),
         Analysis("A19", "top_article_coverage", "sentiment", _EVENTS, media.top_article_coverage,

@@ -11,10 +11,14 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from wirepulse.operators.views import ordering
 from wirepulse.plans.registry import ANALYSES
+from wirepulse.session import file_system
 from wirepulse.sources.landed import utc
 
 RUN_LOG = "pipeline_runs"
 
+#: Empty copies of the result sets, which hold their schemas.
+SCHEMAS = "_schemas"
+
 RUN_LOG_SCHEMA = StructType([
     StructField("run_id", StringType()),
     StructField("started_at", TimestampType()),
@@ -34,32 +38,58 @@ def write_result(
     fmt: str = "parquet",
     sort: Sequence[str] = (),
     options: dict[str, str] | None = None,
+    by_day: bool = False,
 ) -> None:
     """Write one result set below ``path``.
 
+    ``by_day`` partitions files by ``date``, the layout in which single days are replaced.
+
     For a format that is no file format (a document-store connector, say) ``path`` is not
     used: the connector gets ``name`` as its ``collection`` option, and ``options``.
     """
     out = df.orderBy(*ordering(sort)) if sort else df
     writer = out.write.mode(mode).format(fmt).options(**(options or {}))
     if fmt in _FILE_FORMATS:
-        writer.save(f"{path}/{name}")
+        _note_schema(df, name, path)
+        (writer.partitionBy("date") if by_day else writer).save(f"{path}/{name}")
     else:
         writer.option("collection", name).save()
 
 
-def write_days(df: DataFrame, name: str, path: str) -> None:
-    """Replace only the days that ``df`` holds, in a result set partitioned by ``date``."""
+def _note_schema(df: DataFrame, name: str, path: str) -> None:
+    """Keep the columns' types and order, which partition folders do not tell."""
+    df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SCHEMAS}/{name}")
+
+
+def write_days(df: DataFrame, name: str, path: str, days: DataFrame | None = None) -> None:
+    """Replace only the days that ``df`` holds, in a result set partitioned by ``date``.
+
+    Of the recomputed ``days`` (column ``_day``) those without rows are removed. ``df`` is
+    read twice then, so hand over a written table.
+    """
+    spark = df.sparkSession
+    _note_schema(df, name, path)
     (
         df.hint("rebalance", "date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(f"{path}/{name}")
     )
+    if days is None:
+        return
+    held = df.select(F.col("date").cast("string").alias("_held")).distinct()
+    gone = days.select(F.col("_day").cast("string").alias("_day")).join(held, F.col("_day").eqNullSafe(F.col("_held")), "left_anti")
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in gone.toLocalIterator():
+        folder = names.DEFAULT_PARTITION_NAME() if row["_day"] is None else names.escapePathName(row["_day"])
+        files, target = file_system(spark, f"{path}/{name}/date={folder}")
+        files.delete(target, True)
 
 
 def read_result(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    """A result set with the columns it was written with, from either layout."""
+    schema = spark.read.parquet(f"{path}/{SCHEMAS}/{name}").schema
+    return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
 
 
 def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -64,6 +64,12 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
     """A fresh folder for intermediate tables, removed when its user is done."""
@@ -71,5 +77,5 @@ def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = file_system(spark, folder)
+        files.delete(path, True)

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from wirepulse.schema import PARTITION_COLUMNS, RAW_SCHEMAS, landed_schema
-from wirepulse.sources.raw import file_pattern, read_raw
+from wirepulse.session import file_system
+from wirepulse.sources.raw import file_pattern, parse_lines, raw_files, read_lines, refuse_archives
+
+#: What was landed, per table; landings under way; and one row per landing.
+LEDGER, STAGING, INGEST_LOG = "_ledger", "_staging", "_ingest_log"
+MARKS = "path string, modified timestamp"
+INGEST_LOG_SCHEMA = "table string, at timestamp, files long, lines long, over_long long"
 
 
 def utc(moment: datetime) -> datetime:
@@ -89,8 +95,13 @@ def read_gkg(spark: SparkSession, parquet_dir: str, since: datetime | None = Non
     return read_table(spark, parquet_dir, "gkg", since)
 
 
-def read_tables(spark: SparkSession, parquet_dir: str, since: datetime | None = None) -> dict[str, DataFrame]:
-    return {table: read_table(spark, parquet_dir, table, since) for table in RAW_SCHEMAS}
+def read_tables(
+    spark: SparkSession,
+    parquet_dir: str,
+    since: datetime | None = None,
+    names: Iterable[str] = tuple(RAW_SCHEMAS),
+) -> dict[str, DataFrame]:
+    return {table: read_table(spark, parquet_dir, table, since) for table in names}
 
 
 def shared_input(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -151,8 +162,64 @@ def expire(spark: SparkSession, parquet_dir: str, table: str, now: datetime, hou
 
 
 def _has_files(spark: SparkSession, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+    files, path = file_system(spark, pattern)
+    return bool(files.globStatus(path))
+
+
+def _staging(out_dir: str, table: str) -> str:
+    return f"{out_dir}/{STAGING}/{table}"
+
+
+def landed_marks(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """``path, modified`` of what was landed before: raw files, or batches of a stream."""
+    folder = f"{out_dir}/{LEDGER}/{table}"
+    return spark.read.schema(MARKS).parquet(folder) if _has_files(spark, folder) else spark.createDataFrame([], MARKS)
+
+
+def _move_files(spark: SparkSession, source: str, target: str) -> None:
+    """Move data files below ``source`` to the same places below ``target``.
+
+    Names are unique and a rename moves a file once, so a repeat finds only what is left.
+    """
+    files, root = file_system(spark, source)
+    if not files.exists(root):
+        return
+    base = files.getFileStatus(root).getPath().toString()
+    listing = files.listFiles(root, True)
+    while listing.hasNext():
+        path = listing.next().getPath()
+        if path.getName().startswith("part-"):
+            _, place = file_system(spark, target + path.toString()[len(base):])
+            files.mkdirs(place.getParent())
+            if not files.rename(path, place):
+                raise OSError(f"cannot move {path} to {place}")
+
+
+def finish_landing(spark: SparkSession, out_dir: str, table: str) -> None:
+    """Bring a landing that was broken off to its end, or clear it away if it was not written whole.
+
+    The marks are written after the rows; once they are whole, rows and then marks are
+    moved to their places.
+    """
+    staging = _staging(out_dir, table)
+    files, path = file_system(spark, staging)
+    if _has_files(spark, f"{staging}/marks/_SUCCESS"):
+        _move_files(spark, f"{staging}/rows", f"{out_dir}/{table}")
+        _move_files(spark, f"{staging}/marks", f"{out_dir}/{LEDGER}/{table}")
+    files.delete(path, True)
+
+
+def land_once(stamped: DataFrame, marks: DataFrame, table: str, out_dir: str) -> None:
+    """Land rows together with the marks of where they come from, all or nothing.
+
+    ``stamped`` has the ingest time and partition columns. A crash at any point is mended
+    by ``finish_landing``, which every landing begins with.
+    """
+    spark, staging = stamped.sparkSession, _staging(out_dir, table)
+    finish_landing(spark, out_dir, table)
+    stamped.write.partitionBy(*PARTITION_COLUMNS).option("compression", "snappy").parquet(f"{staging}/rows")
+    marks.select("path", "modified").coalesce(1).write.parquet(f"{staging}/marks")
+    finish_landing(spark, out_dir, table)
 
 
 def ingest(
@@ -162,23 +229,49 @@ def ingest(
     now: datetime,
     retention_hours: int | None = 1,
     compact: bool = False,
-    dedup_hours: int = 1,
+    dedup_hours: int | None = None,
 ) -> dict[str, int]:
-    """One ingest cycle: parse, coerce, de-duplicate events, land and expire each table.
+    """One ingest cycle: parse, coerce, de-duplicate events, land new files and expire each table.
 
+    Only files that the ledger does not name, by path and modification time, are read.
     Events are dropped when their id came twice in this cycle or was landed in the last
-    ``dedup_hours`` hours. Returns the number of expired partitions per table.
+    ``dedup_hours`` hours, by default as long as rows are kept. Lines with too many fields
+    are left out; the ingest log counts them. Returns the number of expired partitions per
+    table; tables without new files are expired too.
     """
     dropped = {}
+    dedup_hours = retention_hours if dedup_hours is None else dedup_hours
     for table in RAW_SCHEMAS:
-        if not _has_files(spark, f"{raw_dir}/{file_pattern(table)}"):
-            continue
-        rows = read_raw(spark, raw_dir, table)
-        if table == "events":
-            rows = distinct_events(rows)
-            if dedup_hours and _has_files(spark, f"{out_dir}/events"):
-                since = utc(now) - timedelta(hours=dedup_hours)
-                rows = unseen_events(rows, read_events(spark, out_dir, since))
-        land(rows, table, out_dir, now, compact)
-        dropped[table] = expire(spark, out_dir, table, now, retention_hours) if retention_hours else 0
+        finish_landing(spark, out_dir, table)
+        if _has_files(spark, f"{raw_dir}/{file_pattern(table)}"):
+            _land_new_files(spark, raw_dir, out_dir, table, now, compact, dedup_hours)
+        kept = retention_hours and _has_files(spark, f"{out_dir}/{table}")
+        dropped[table] = expire(spark, out_dir, table, now, retention_hours) if kept else 0
     return dropped
+
+
+def _land_new_files(
+    spark: SparkSession, raw_dir: str, out_dir: str, table: str, now: datetime, compact: bool, dedup_hours: int | None
+) -> None:
+    found = raw_files(spark, raw_dir, table)
+    refuse_archives(found)
+    fresh = found.join(landed_marks(spark, out_dir, table), ["path", "modified"], "left_anti")
+    fresh = fresh.select("path", "modified").collect()
+    if not fresh:
+        return
+    counted = Observation()
+    width = len(RAW_SCHEMAS[table])
+    lines = read_lines(spark, [row["path"] for row in fresh], table).observe(
+        counted, F.count_if(F.size(F.split("value", "\t", -1)) > width).alias("over_long"), F.count(F.lit(1)).alias("lines"),
+    )
+    rows = parse_lines(lines, table)
+    if table == "events":
+        rows = distinct_events(rows)
+        if _has_files(spark, f"{out_dir}/events"):
+            since = utc(now) - timedelta(hours=dedup_hours) if dedup_hours else None
+            rows = unseen_events(rows, read_events(spark, out_dir, since))
+    stamped = stamp(rows, now)
+    land_once(stamped.hint("rebalance") if compact else stamped, spark.createDataFrame(fresh, MARKS), table, out_dir)
+    seen = counted.get
+    row = (table, utc(now), len(fresh), seen["lines"], seen["over_long"])
+    spark.createDataFrame([row], INGEST_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{out_dir}/{INGEST_LOG}")

@@ -32,9 +32,38 @@ def file_pattern(table: str) -> str:
     return "*." + "".join(f"[{letter}{letter.upper()}]" for letter in kind) + ".*"
 
 
+# Archives that the text reader would take for lines.
+_UNREADABLE = "(?i)[.](zip|7z|rar|tar|tgz)$"
+
+
+class UnreadableFiles(ValueError):
+    """Raw files in a form that Spark does not decode; unpack them first."""
+
+
+def raw_files(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
+    """``path, modified`` of a table's raw files, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", file_pattern(table)).load(raw_dir)
+    return listed.select("path", F.col("modificationTime").alias("modified"))
+
+
+def refuse_archives(files: DataFrame) -> None:
+    """Raise an error that names some archives among the files, if there are any."""
+    found = [row["path"] for row in files.where(F.col("path").rlike(_UNREADABLE)).limit(3).collect()]
+    if found:
+        raise UnreadableFiles(f"unpack these files first, Spark cannot decode them: {', '.join(found)}")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], table: str) -> DataFrame:
+    return spark.read.option("pathGlobFilter", file_pattern(table)).text(paths)
+
+
 def scan_lines(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
-    """Lines of a table's raw files, plain or compressed with a codec Spark knows."""
-    return spark.read.option("pathGlobFilter", file_pattern(table)).text(raw_dir)
+    """Lines of a table's raw files, plain or compressed with a codec Spark knows.
+
+    Archives raise ``UnreadableFiles``.
+    """
+    refuse_archives(raw_files(spark, raw_dir, table))
+    return read_lines(spark, raw_dir, table)
 
 
 def stream_lines(

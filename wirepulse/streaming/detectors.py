@@ -19,6 +19,15 @@ from wirepulse.functions.columns import stamp_number, wall_clock
 from wirepulse.streaming.ingest import start
 
 COUNTS_SCHEMA = "GlobalEventID long, at timestamp, mentions long"
+# The steps see and give epoch milliseconds, which no session time zone can shift.
+_ESCALATION_STEP = (
+    "GlobalEventID long, mention_ms long, mentions_last_24h long, mentions_this_hour long, escalation_ratio double"
+)
+_BURST_STEP = "GlobalEventID long, first_ms long, mentions_in_first_hour long"
+
+#: How long an event is remembered after its last count (escalation) or first mention (bursts).
+FORGET_SECONDS = 7 * 86400
+
 ESCALATION_SCHEMA = (
     "GlobalEventID long, mention_hour timestamp, mentions_last_24h long, mentions_this_hour long, "
     "escalation_ratio double"
@@ -62,42 +71,65 @@ def counts_source(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(COUNTS_SCHEMA).parquet(f"{out_dir}/{name}")
 
 
-def _escalation_step(hours: int, min_ratio: float) -> Callable:
-    """State: the counts of the event's last observed hours, oldest first."""
+def _escalation_step(hours: int, min_ratio: float, forget_ms: int) -> Callable:
+    """State: the counts of the event's last observed hours, oldest first, and the last hour."""
 
     def step(key, chunks, state):
         import pandas as pd
 
-        rows = pd.concat(list(chunks)).sort_values("at")
-        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values("at_ms")
+        recent, last = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         found = []
-        for at, now in zip(rows["at"], rows["mentions"], strict=True):
-            recent = [*recent, int(now)][-hours:]
+        for at, now in zip(rows["at_ms"].tolist(), rows["mentions"].tolist(), strict=True):
+            recent = [*recent, now][-hours:]
             total = sum(recent)
-            ratio = int(now) / (total + 1)
+            ratio = now / (total + 1)
             if ratio > min_ratio:
-                found.append((key[0], at, total, int(now), ratio))
-        state.update((recent[1 - hours:],))
+                found.append((key[0], at, total, now, ratio))
+            last = max(last, at)
+        state.update((recent[1 - hours:] if hours > 1 else [], last))
+        state.setTimeoutTimestamp(max(last + forget_ms, state.getCurrentWatermarkMs() + 1))
         if found:
             yield pd.DataFrame(found, columns=[
-                "GlobalEventID", "mention_hour", "mentions_last_24h", "mentions_this_hour", "escalation_ratio",
+                "GlobalEventID", "mention_ms", "mentions_last_24h", "mentions_this_hour", "escalation_ratio",
             ])
 
     return step
 
 
-def escalation_stream(counts: DataFrame, *, min_ratio: float = 0.5, hours: int = 24) -> DataFrame:
+def _in_epoch(counts: DataFrame, delay: str) -> DataFrame:
+    return counts.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
+
+
+def escalation_stream(
+    counts: DataFrame,
+    *,
+    min_ratio: float = 0.5,
+    hours: int = 24,
+    forget_seconds: int = FORGET_SECONDS,
+    delay: str = "1 hour",
+) -> DataFrame:
     """Escalations from a stream of hourly counts.
 
     Buckets close in time order, so an event's hours reach its state in order. Looks back
-    over observed hours, as the batch analysis does by default.
+    over observed hours, as the batch analysis does by default, but an event that is silent
+    for ``forget_seconds`` is forgotten and starts anew; give the retention of the mentions
+    here. Mentions without a readable time, which the batch form counts under a null hour,
+    are left out.
     """
-    return counts.groupBy("GlobalEventID").applyInPandasWithState(
-        _escalation_step(hours, min_ratio),
-        ESCALATION_SCHEMA,
-        "recent array<long>",
+    found = _in_epoch(counts, delay).groupBy("GlobalEventID").applyInPandasWithState(
+        _escalation_step(hours, min_ratio, forget_seconds * 1000),
+        _ESCALATION_STEP,
+        "recent array<long>, last long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return found.select(
+        "GlobalEventID", F.timestamp_millis("mention_ms").alias("mention_hour"), "mentions_last_24h", "mentions_this_hour",
+        "escalation_ratio",
     )
 
 
@@ -111,7 +143,7 @@ def _burst_step(threshold: int, horizon_ms: int, forget_ms: int) -> Callable:
             if count >= threshold:
                 yield pd.DataFrame({
                     "GlobalEventID": [key[0]],
-                    "first_mention_time": [pd.Timestamp(first, unit="ms")],
+                    "first_ms": [first],
                     "mentions_in_first_hour": [count],
                 })
 
@@ -126,7 +158,7 @@ def _burst_step(threshold: int, horizon_ms: int, forget_ms: int) -> Callable:
             return
 
         rows = pd.concat(list(chunks))
-        at = rows["at"].to_numpy().astype("datetime64[ms]").astype("int64")
+        at = rows["at_ms"].to_numpy()
         first, count, is_open = state.get if state.exists else (int(at.min()), 0, 1)
         watermark = state.getCurrentWatermarkMs()
         if is_open:
@@ -146,22 +178,24 @@ def breaking_stream(
     *,
     threshold: int = 100,
     horizon_seconds: int = 3600,
-    forget_seconds: int = 7 * 86400,
+    forget_seconds: int = FORGET_SECONDS,
     delay: str = "1 hour",
 ) -> DataFrame:
     """Bursts from a stream of counts per exact time stamp.
 
     An event is judged once, when the watermark passes its first mention plus the horizon.
     Its state is kept ``forget_seconds`` after the first mention, so that later mentions
-    do not start it anew.
+    do not start it anew; give the retention of the mentions here. An event mentioned for
+    longer than that may be reported again, which the batch form never does.
     """
-    return counts.withWatermark("at", delay).groupBy("GlobalEventID").applyInPandasWithState(
+    found = _in_epoch(counts, delay).groupBy("GlobalEventID").applyInPandasWithState(
         _burst_step(threshold, horizon_seconds * 1000, forget_seconds * 1000),
-        BURST_SCHEMA,
+        _BURST_STEP,
         "first long, count long, open int",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select("GlobalEventID", F.timestamp_millis("first_ms").alias("first_mention_time"), "mentions_in_first_hour")
 
 
 def run_escalation(
@@ -182,7 +216,7 @@ def run_escalation(
         counting.awaitTermination()
     hourly = counts_source(spark, out_dir, "hourly_mentions")
     detecting = write_stream(
-        escalation_stream(hourly, **settings), "escalation_events", out_dir, checkpoint_dir, once
+        escalation_stream(hourly, delay=delay, **settings), "escalation_events", out_dir, checkpoint_dir, once
     )
     return [counting, detecting]
 
@@ -206,6 +240,6 @@ def run_breaking(
         counting.awaitTermination()
     ticks = counts_source(spark, out_dir, "mention_ticks")
     detecting = write_stream(
-        breaking_stream(ticks, **settings), "breaking_bursts", out_dir, checkpoint_dir, once
+        breaking_stream(ticks, delay=delay, **settings), "breaking_bursts", out_dir, checkpoint_dir, once
     )
     return [counting, detecting]

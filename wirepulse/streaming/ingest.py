@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from wirepulse.schema import PARTITION_COLUMNS
-from wirepulse.sources.raw import parse_lines, stream_lines
+from wirepulse.sources.landed import MARKS, expire, finish_landing, land_once, landed_marks
+from wirepulse.sources.raw import parse_lines, raw_files, refuse_archives, stream_lines
 
 CYCLE = "15 minutes"
 
@@ -58,26 +60,35 @@ def ingest_stream(
     *,
     within: str = "1 hour",
     salts: int = 8,
-    retention: str | None = None,
+    retention_hours: int | None = None,
     max_files: int | None = None,
     pattern: str | None = None,
     once: bool = False,
 ) -> StreamingQuery:
     """Parse new raw files into a landed table; events are de-duplicated on the way.
 
-    ``retention`` (``"1h"``) is the file sink's own time to live: older output files leave
-    its log, so readers of the table no longer see them.
+    Batches land as the batch cycle's files do, each once: the ledger knows a batch by its
+    checkpoint and number. So batch and stream may write the same table, and ``expire``
+    serves both; ``retention_hours`` expires the table after each batch. ``within`` bounds
+    how long a repeated event id is remembered.
     """
+    def land(batch: DataFrame, number: int) -> None:
+        mark = f"{checkpoint_dir}/ingest_{table}#{number}"
+        finish_landing(spark, out_dir, table)
+        if landed_marks(spark, out_dir, table).where(F.col("path") == mark).isEmpty():
+            now = datetime.now(timezone.utc)
+            land_once(batch, spark.createDataFrame([(mark, now)], MARKS), table, out_dir)
+            if retention_hours:
+                expire(spark, out_dir, table, now, retention_hours)
+
+    if pattern is None:
+        refuse_archives(raw_files(spark, raw_dir, table))
     rows = stamped_stream(parse_lines(stream_lines(spark, raw_dir, table, max_files, pattern), table))
     if table == "events":
         rows = deduplicated(rows, within, salts)
     writer = (
-        rows.writeStream.format("parquet").outputMode("append")
-        .partitionBy(*PARTITION_COLUMNS)
-        .option("path", f"{out_dir}/{table}")
+        rows.writeStream.foreachBatch(land)
         .option("checkpointLocation", f"{checkpoint_dir}/ingest_{table}")
         .queryName(f"ingest_{table}")
     )
-    if retention:
-        writer = writer.option("retention", retention)
     return start(writer, once)

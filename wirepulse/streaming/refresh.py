@@ -15,6 +15,9 @@ from wirepulse.plans.results import write_days
 from wirepulse.session import materialise, scratch_folder
 from wirepulse.streaming.ingest import start
 
+#: Touched days that become conditions of the scan, and the ranges they are joined to.
+LISTED_DAYS, RUNS = 1000, 30
+
 DAY_COLUMNS = {"published": published_date, "event": lambda: F.col("Day")}
 
 
@@ -23,28 +26,57 @@ def daily_analyses() -> list[Analysis]:
     return [analysis for analysis in ANALYSES.values() if analysis.day_of]
 
 
-def _between(first: int, last: int, day_of: str) -> Column:
-    """Bounds on the stored column, which Parquet statistics can prune files by."""
+def _runs(days: list[int]) -> list[tuple[int, int]]:
+    """Days as ``RUNS`` ranges at most, joined where the gaps are smallest."""
+    runs = [(day, day) for day in sorted(days)]
+    while len(runs) > RUNS:
+        at = min(range(len(runs) - 1), key=lambda k: runs[k + 1][0] - runs[k][1])
+        runs[at:at + 2] = [(runs[at][0], runs[at + 1][1])]
+    return runs
+
+
+def _stored_in(days: list, day_of: str) -> Column:
+    """A condition on the stored column that holds for all rows of the days.
+
+    Ranges, prefixes and null tests are all pushed to the Parquet scan.
+    """
+    plain = [day for day in days if day is not None and 10_000_000 <= day <= 99_999_999]
+    found = F.lit(False)
     if day_of == "event":
-        return F.col("Day").between(first, last)
+        for first, last in _runs(plain):
+            found = found | F.col("Day").between(first, last)
+        for day in set(days) - set(plain) - {None}:
+            found = found | (F.col("Day") == day)
+        return found | F.col("Day").isNull() if None in days else found
     # Eight digits are the only text of that length that reads as an eight-digit number,
     # and ":" sorts after every digit.
-    return (F.col("DATEADDED") >= str(first)) & (F.col("DATEADDED") < f"{last}:")
+    for first, last in _runs(plain):
+        found = found | ((F.col("DATEADDED") >= str(first)) & (F.col("DATEADDED") < f"{last}:"))
+    return found
 
 
 def events_of_days(history: DataFrame, days: DataFrame, day_of: str) -> DataFrame:
     """All events of the given days (column ``_day``).
 
-    Landed files follow the ingest order, so bounds on the day skip most of the history.
-    They apply only where every day is a plain date; the semi-join decides in any case.
+    Landed files follow the ingest order, so the exact days skip most of the history, years
+    apart as they may be. Up to ``LISTED_DAYS`` of them become conditions on the stored
+    column; with more, the semi-join decides alone. Published days that are no plain date
+    come from texts of several forms, so these are looked for apart. The semi-join decides
+    in any case.
     """
-    plain = F.col("_day").between(10_000_000, 99_999_999)
-    bounds = days.agg(
-        F.min("_day").alias("first"), F.max("_day").alias("last"), F.bool_and(F.coalesce(plain, F.lit(False))).alias("plain"),
-    ).first()
-    if bounds["plain"]:
-        history = history.where(_between(bounds["first"], bounds["last"], day_of))
-    return history.join(days, DAY_COLUMNS[day_of]().eqNullSafe(F.col("_day")), "left_semi")
+    day = DAY_COLUMNS[day_of]()
+    listed = [row["_day"] for row in days.select("_day").distinct().limit(LISTED_DAYS + 1).collect()]
+    if len(listed) > LISTED_DAYS:
+        return history.join(days, day.eqNullSafe(F.col("_day")), "left_semi")
+    odd = [d for d in listed if d is None or not 10_000_000 <= d <= 99_999_999]
+    touched = history.where(_stored_in(listed, day_of)).join(days, day.eqNullSafe(F.col("_day")), "left_semi")
+    if day_of == "event" or not odd:
+        return touched
+    strange = F.col("DATEADDED").isNull() | ~F.col("DATEADDED").rlike("^[1-9][0-9]{7}")
+    others = days.where(F.col("_day").isNull() | ~F.col("_day").between(10_000_000, 99_999_999))
+    return touched.where(day.between(10_000_000, 99_999_999)).unionByName(
+        history.where(strange).join(others, day.eqNullSafe(F.col("_day")), "left_semi")
+    )
 
 
 def refresh_days(history: DataFrame, arrived: DataFrame, out_dir: str, analyses: list[Analysis]) -> None:
@@ -61,7 +93,8 @@ def refresh_days(history: DataFrame, arrived: DataFrame, out_dir: str, analyses:
             touched = events_of_days(history, days, day_of)
             rollups = shared_rollups(chosen, touched, folder)
             for analysis in chosen:
-                write_days(result_frame(analysis, {"events": touched}, rollups), analysis.result, out_dir)
+                frame = result_frame(analysis, {"events": touched}, rollups)
+                write_days(materialise(frame, f"{folder}/result-{analysis.result}"), analysis.result, out_dir, days)
 
 
 def refresh_results_stream(
