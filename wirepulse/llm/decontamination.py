@@ -229,4 +229,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of the benchmark, with all their columns."""
     hits = materialise(leaks(docs, benchmark), scratch_path(docs.sparkSession, "leaks"))
     named = hits.select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"))
+    return packed.join(named, F.col("_doc.doc_id").eqNullSafe(F.col("_leaking")), "left_anti").select("_doc.*")

@@ -140,20 +140,19 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     sized = materialise(sizes(docs), scratch_path(docs.sparkSession, "mix-sizes"))
     same = ["_id", "_no_id", *_KEY, "_size"]
 
-    def keyed(df: DataFrame, size: Column) -> DataFrame:
+    def keyed(df: DataFrame, size: Column, *more: Column) -> DataFrame:
         return df.select(
-            "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"),
+            *more, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no_id"),
             F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), size.alias("_size"),
         )
 
-    chosen = keyed(copies(sized, **settings), F.col("size"))
+    chosen = keyed(copies(sized, **settings), F.col("size"), F.col("copies"))
     nth = F.row_number().over(Window.partitionBy(*same).orderBy("copies"))
-    chosen = chosen.withColumn("_nth", nth).where("copies > 0 AND _size > 0").select(*same, "_nth", F.col("copies").alias("_copies"))
+    chosen = chosen.withColumn("_nth", nth).where("copies > 0 AND _size > 0")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("text"))
-    rows = keyed(docs, size).withColumn("_nth", nth).join(chosen, [*same, "_nth"])
-    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
-    return repeated.select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_doc.text"))
+    rows = keyed(docs, size, F.struct(*docs.columns).alias("_doc")).withColumn("_nth", nth).join(chosen, [*same, "_nth"])
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("_doc.*")
 
 
 ORACLE_SQL = r"""
