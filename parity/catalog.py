@@ -13,7 +13,8 @@ from parity import oracle, sample_tables
 from wirepulse.operators import views
 from wirepulse.plans.batch import run_analyses
 from wirepulse.plans.registry import ANALYSES, Analysis
-from wirepulse.plans.results import read_results
+from wirepulse.plans.results import read_result, read_results
+from wirepulse.schema import landed_schema
 from wirepulse.session import scratch_path
 from wirepulse.sources import landed, raw
 from wirepulse.streaming import detectors, refresh
@@ -192,6 +193,41 @@ def refreshed_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(back.select("country", F.col("date").cast("int"), "avg_goldstein", "event_count", "avg_mentions"))
 
 
+def refresh_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full run over some events, more events of some days, a refresh: all days are there."""
+    work = scratch_path(spark, "refresh-after-run")
+    events = sample_tables.conform(sample_tables.news_events(spark, sf_dir), "events")
+    late = F.col("GlobalEventID") % 5 == 0
+    landed.land(events.where(~late), "events", f"{work}/store", NOW)
+    tables = {"events": landed.read_events(spark, f"{work}/store"), "mentions": sample_tables.tables(spark, sf_dir)["mentions"]}
+    run_analyses(spark, tables, f"{work}/out", "conflicts")
+    landed.land(events.where(late), "events", f"{work}/arrived", NOW)
+    landed.land(events.where(late), "events", f"{work}/store", NOW)
+    arrivals = spark.readStream.schema(landed_schema("events")).parquet(f"{work}/arrived/events")
+    refresh.refresh_results_stream(
+        lambda: landed.read_events(spark, f"{work}/store"), arrivals, f"{work}/out", f"{work}/checkpoint",
+        ["conflict_heatmap"], once=True,
+    ).awaitTermination()
+    return present(read_result(spark, f"{work}/out", "conflict_heatmap"))
+
+
+def stream_then_batch_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some events landed by the stream, the others by a batch, in one table that expires as one."""
+    work = scratch_path(spark, "stream-then-batch")
+    events = sample_tables.news_events(spark, sf_dir)
+    late = F.col("GlobalEventID") % 3 == 0
+    sample_tables.raw_lines(events.where(~late), "events").write.text(f"{work}/raw")
+    ingest_stream(
+        spark, f"{work}/raw", f"{work}/landed", f"{work}/checkpoint", pattern="part-*", retention_hours=1, once=True,
+    ).awaitTermination()
+    now = datetime.now(timezone.utc)
+    rows = landed.stamp(raw.parse_lines(sample_tables.raw_lines(events.where(late), "events"), "events"), now)
+    marks = spark.createDataFrame([("batch", now)], landed.MARKS)
+    landed.land_once(rows, marks, "events", f"{work}/landed")
+    landed.expire(spark, f"{work}/landed", "events", now, hours=2)
+    return present(landed.read_events(spark, f"{work}/landed").select(*PARSED_EVENTS))
+
+
 # The streams' watermark: the newest mention minus one hour. A bucket is closed when it ends
 # at or before it; counts per time stamp close when the stamp is at or before it.
 CLOSED_HOURLY = """closed AS (
@@ -275,5 +311,7 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
            WHERE first_at + INTERVAL 1 HOUR < (SELECT max(seen) - INTERVAL 2 HOUR FROM mentions)""",
         "GlobalEventID first_mention_time:t mentions_in_first_hour",
     ))
+    out["refresh_after_run"] = (refresh_after_run, oracle.result_sql("conflict_heatmap"))
+    out["stream_then_batch_landing"] = (stream_then_batch_landing, parsed)
     out["streamed_refresh_heatmap"] = (refreshed_heatmap, oracle.result_sql("conflict_heatmap"))
     return out

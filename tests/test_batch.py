@@ -9,7 +9,7 @@ import pytest
 
 from tests.conftest import rows_of, table
 from wirepulse.cli import build_parser, main
-from wirepulse.operators import views
+from wirepulse.operators import sentiment, views
 from wirepulse.plans import batch, registry, results
 from wirepulse.plans.registry import ANALYSES, Analysis, in_group
 from wirepulse.session import scratch_path, shared_dir
@@ -224,3 +224,21 @@ def test_command_line(spark, tables, tmp_path, now, monkeypatch):
     assert landed.read_gkg(spark, str(tmp_path / "in")).count() == 1
     with pytest.raises(SystemExit):
         build_parser().parse_args(["run", "--group", "none", "--out", "x"])
+
+
+def test_a_group_reads_only_its_tables_and_failures_are_logged(spark, tmp_path, tables, now):
+    landed.land(tables["events"], "events", str(tmp_path / "in"), now)
+    landed.land(tables["mentions"], "mentions", str(tmp_path / "in"), now)
+    assert batch.run_group(spark, str(tmp_path / "in"), str(tmp_path / "out"), "conflicts")
+    with pytest.raises(Exception, match="gkg"):
+        batch.run_group(spark, str(tmp_path / "in"), str(tmp_path / "out"), "media")
+    assert [row["status"] for row in results.run_log(spark, str(tmp_path / "out")).collect()] == ["failed", "success"]
+
+
+def test_next_day_lag_skips_dates_that_are_no_day(events_of):
+    days = ("20240229", "20240230", "20240301")
+    events = events_of(*[
+        {"GlobalEventID": k, "DATEADDED": f"{day}000000", "AvgTone": 1.0, "QuadClass": 4} for k, day in enumerate(days)
+    ])
+    got = {row["date"]: row["tomorrow_conflict_count"] for row in sentiment.tone_conflict_lag(events).collect()}
+    assert got == {20240229: 1, 20240230: None, 20240301: None}

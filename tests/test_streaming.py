@@ -7,6 +7,8 @@ import os
 import time
 from datetime import datetime
 
+import pytest
+
 from tests.conftest import F, rows_of, table
 from wirepulse.operators import conflict, media
 from wirepulse.schema import landed_schema, raw_schema
@@ -187,3 +189,48 @@ def test_both_stages_run_continuously_from_an_empty_start(spark, tmp_path):
     finally:
         for query in queries:
             query.stop()
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_bursts_do_not_depend_on_the_session_zone(spark, tmp_path, mentions_of, zone):
+    batches = [[(1, stamp(0))] * 3, [(1, stamp(0, 59))] * 2 + [(2, stamp(3))] * 5, [(9, stamp(12))], [(9, stamp(20))] * 9]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+        for query in detectors.run_breaking(spark, mention_stream(spark, tmp_path, batches), out, ck, once=True, threshold=5):
+            query.awaitTermination()
+        got = spark.read.schema(detectors.BURST_SCHEMA).parquet(f"{out}/breaking_bursts")
+        texts = got.select("GlobalEventID", F.date_format("first_mention_time", "yyyyMMddHHmmss").alias("at"), "mentions_in_first_hour")
+        assert rows_of(texts) == [(1, stamp(0), 5), (2, stamp(3), 5)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_escalation_forgets_silent_events(spark, tmp_path):
+    batches = [[(1, stamp(0))] * 4, [(2, stamp(9))], [(3, stamp(0, day=2))], [(1, stamp(9, day=2))] * 4, [(9, stamp(20, day=2))]]
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    stream = mention_stream(spark, tmp_path, batches)
+    counting = detectors.write_stream(detectors.mention_counts_stream(stream), "hourly_mentions", out, ck, once=True)
+    counting.awaitTermination()
+    hourly = spark.readStream.schema(detectors.COUNTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{out}/hourly_mentions")
+    detecting = detectors.write_stream(
+        detectors.escalation_stream(hourly, forget_seconds=6 * 3600), "escalation_events", out, ck, once=True
+    )
+    detecting.awaitTermination()
+    got = spark.read.schema(detectors.ESCALATION_SCHEMA).parquet(f"{out}/escalation_events").where("GlobalEventID = 1")
+    # With its first hour remembered, the second would be 4 of 8.
+    assert rows_of(got, "mentions_last_24h", "mentions_this_hour") == [(4, 4), (4, 4)]
+    removed = [op["numRowsRemoved"] for p in detecting.recentProgress for op in p["stateOperators"]]
+    assert sum(removed) >= 1
+
+
+def test_refresh_removes_days_that_became_empty(spark, tmp_path):
+    from wirepulse.plans import results
+
+    rows = spark.createDataFrame([("a", 20240101), ("b", 20240102), ("c", None)], "x string, date int")
+    results.write_result(rows, "r", str(tmp_path), by_day=True)
+    days = spark.createDataFrame([(20240102,), (None,)], "_day int")
+    results.write_days(rows.where("x = 'z'"), "r", str(tmp_path), days)
+    back = results.read_result(spark, str(tmp_path), "r")
+    assert back.dtypes == rows.dtypes and rows_of(back) == [("a", 20240101)]
