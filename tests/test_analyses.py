@@ -10,7 +10,6 @@ import pytest
 from tests.conftest import F, rows_of
 from wirepulse.functions.columns import stamp_number, wall_clock
 from wirepulse.functions import lookups
-from wirepulse.functions.lookups import COUNTRY_NAMES, REGIONS, country_name
 from wirepulse.operators import actors, conflict, media, ranking, sentiment
 
 
@@ -275,12 +274,6 @@ def test_code_table_keeps_any_text(spark):
     assert dict(rows_of(lookups.code_table(spark, entries, "code", "label"))) == entries
 
 
-def test_country_names_cover_the_regions(spark):
-    assert set(COUNTRY_NAMES) == set(REGIONS)
-    df = spark.createDataFrame([("GM",), ("ZZ",)], "code string").select(country_name(F.col("code")))
-    assert rows_of(df) == [("Alemania",), ("ZZ",)]
-
-
 def test_invariants(spark, events_of):
     events = events_of(*[
         {"QuadClass": 1 + i % 4, "EventRootCode": f"{1 + i % 20:02}", "AvgTone": float(i % 13),
