@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from wirepulse.session import materialise, scratch_path
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one root at most, and no root points on."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,18 +40,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``; the root is the smallest node.
 
-    Alternates large and small stars until nothing changes; each round is written to the
-    shared folder. Null ends and loops are ignored; repeated edges count once.
+    Alternates large and small stars until every component is one star; each round is
+    written to the shared folder. Null ends and loops are ignored; repeated edges count once.
     """
     spark = edges.sparkSession
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialise(edges, scratch_path(spark, "stars"))
-    state = _state(edges)
-    while state[0]:
+    while not _only_stars(edges):
         edges = materialise(_star(_star(edges, True), False), scratch_path(spark, "stars"))
-        before, state = state, _state(edges)
-        if state == before:
-            break
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirepulse.llm.components import components
+from wirepulse.llm.open_pairs import open_pairs
 from wirepulse.llm.text import map_texts, utf8
 from wirepulse.session import materialise, scratch_path
 
@@ -28,9 +29,10 @@ SLOTS = BANDS * ROWS
 #: and fewer than 60 once in a million.
 AGREEING = 60
 
-#: Rounds in which each bucket tests its members against one leader, before the pairs
-#: that are still open are tested one by one.
-LEADER_ROUNDS = 3
+#: Members of each bucket that all its other members are tested against first.
+LEADERS = 4
+#: Of larger buckets, only pairs that pass the prefix filter are tested in the end.
+SMALL_BUCKET = 8
 
 SIGNATURES = "doc_id long, key binary, bands array<long>, planes array<long>"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -224,14 +226,33 @@ def _text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b"))
+
+
+def _large_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: pairs of the ``key, root`` of larger buckets that the prefix filter leaves.
+
+    The filter works on running numbers, which are smaller than the keys.
+    """
+    spark = texts.sparkSession
+    numbered = materialise(members.withColumn("no", F.monotonically_increasing_id()), scratch_path(spark, "near-numbers"))
+    roots = numbered.groupBy(F.col("root").alias("_root")).agg(F.min("no").alias("_low"))
+    placed = numbered.join(roots, F.col("root") == F.col("_root")).select("key", "no", F.col("_low").alias("root"))
+    held = materialise(placed.join(texts, "key").select("no", "root", "text"), scratch_path(spark, "near-large"))
+    a, b = (numbered.select(F.col("key").alias(f"key_{k}"), F.col("no").alias(k)) for k in "ab")
+    pairs = open_pairs(held, shingles, SIMILAR).join(a, "a").join(b, "b")
+    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+
 def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``key, root`` for the texts that have a near-duplicate with another text.
 
-    Texts sharing a band value form a bucket. In a leader round each bucket tests its
-    members against one of them, unless both are in one component already, so a group of
-    copies costs a test per member. Buckets that still hold several components after
-    the leader rounds then test all pairs that are not in one component, so no link is
-    lost: what is skipped could only join what is joined.
+    Texts sharing a band value form a bucket. First each bucket tests its members against a
+    few of them, so a group of copies costs a few tests per member. Buckets that still hold
+    several components then test all pairs that are not in one component: small buckets each
+    pair, the texts of larger ones the pairs that an exact prefix filter leaves. No link is
+    lost: what is skipped is not similar, or could only join what is joined.
     """
     spark = docs.sparkSession
 
@@ -251,37 +272,28 @@ def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.first("text").alias("text")),
         "near-texts",
     )
-    tested = spark.createDataFrame([], "a binary, b binary")
-    links = tested
-    roots = spark.createDataFrame([], "node binary, root binary")
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = (
-            shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
-            .select("value", "key", F.coalesce("root", "key").alias("root"))
-        )
-        mixed = placed.groupBy("value").agg(
-            F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("by"), "key", "root")).alias("leader"),
-            F.min("root").alias("low"), F.max("root").alias("high"),
-        ).where("low < high")
-        if turn < LEADER_ROUNDS:
-            leaders = mixed.select("value", F.col("leader.key").alias("first"), F.col("leader.root").alias("first_root"))
-            pairs = placed.join(leaders, "value").where("root <> first_root").select(
-                F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b")
-            )
-        else:
-            shared = keep(placed.join(mixed.select("value"), "value"), "near-open")
-            other = shared.select("value", F.col("key").alias("first"), F.col("root").alias("first_root"))
-            pairs = shared.join(other, "value").where("root <> first_root AND key < first").select(
-                F.col("key").alias("a"), F.col("first").alias("b")
-            )
-        pairs = keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        links = links.unionByName(keep(_links(pairs, nodes, texts), "near-links"))
-        tested = tested.unionByName(pairs)
-        roots = keep(components(links), "near-roots")
+    lowest = [F.min_by("key", F.xxhash64("key", F.lit(seed))) for seed in range(LEADERS)]
+    leaders = shared.groupBy("value").agg(F.array_distinct(F.array(*lowest)).alias("first"))
+    pairs = shared.join(leaders, "value").select("key", F.explode("first").alias("first")).where("key <> first")
+    tested = keep(_ordered(pairs).distinct(), "near-pairs")
+    links = keep(_links(tested, nodes, texts), "near-links")
+    roots = keep(components(links), "near-roots")
+
+    placed = (
+        shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
+        .select("value", "key", F.coalesce("root", "key").alias("root"))
+    )
+    mixed = placed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    opened = keep(placed.join(mixed.where("low < high").select("value", "n"), "value"), "near-open")
+    small = opened.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("value", F.col("key").alias("first"), F.col("root").alias("first_root"))
+    pairs = _ordered(small.join(other, "value").where("root <> first_root AND key < first"))
+    large = opened.where(F.col("n") > SMALL_BUCKET).select("key", "root").distinct()
+    pairs = pairs.unionByName(_large_pairs(large, texts)).distinct().join(tested, ["a", "b"], "left_anti")
+    more = keep(_links(keep(pairs, "near-pairs"), nodes, texts), "near-links")
+    if not more.isEmpty():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        roots = keep(components(joined), "near-roots")
     return roots.select(F.col("node").alias("key"), "root")
 
 
@@ -314,6 +326,6 @@ def first_of_class(docs: DataFrame) -> DataFrame:
     _, rooted = _signed_and_roots(docs)
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_chosen"))
-    keyed = docs.withColumn("_key", _text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_chosen"))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_own"), _text_key().alias("_key"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_chosen"))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["_own", "_key"]).select("_doc.*")

@@ -1,0 +1,99 @@
+"""Pairs of texts that may still be similar, by prefix and positional filters.
+
+Used where a bucket of near-copies holds texts of several components. Ordered from rare to
+frequent shingles, two similar texts share one of the first shingles of both, at places
+that leave enough weight behind them. Copies changed in many places begin with shingles of
+their own, so most pairs of a group are never made, and none that is similar is lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wirepulse.llm.text import arrow_schema, groups, utf8
+from wirepulse.session import materialise, scratch_path
+
+#: Cells of the table of shingle frequencies: 16 MB of counts, whatever the input.
+CELL_BITS = 22
+
+PREFIXES = "shingle long, no long, root long, before long, size long"
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, shingles) -> np.ndarray:
+    """Roughly how many texts hold the shingles of each cell.
+
+    Any fixed table orders all texts alike, which is all that the filters need, so a group
+    of texts sends only the cells that it fills more than once.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = utf8(batch.column(0))
+            for a, b in groups(held):
+                cells, n = np.unique(_cell(shingles(held[a:b])[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[n > 1]), pa.array(n[n > 1])], ["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << CELL_BITS, np.int32)
+    table[counted["cell"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.int32).max)
+    return table
+
+
+def prefixes(texts: DataFrame, shingles, similar: tuple[int, int]) -> DataFrame:
+    """The first shingles of each text ``no, root, text``: with the weight before them.
+
+    A shingle is left out once what follows it, itself included, is less than a similar
+    text must share with this one.
+    """
+    table = texts.sparkSession.sparkContext.broadcast(frequencies(texts, shingles))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(PREFIXES)
+        for batch in batches:
+            held = utf8(batch.column(2))
+            no, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in groups(held):
+                hashes, weights, owners = shingles(held[a:b])
+                by = np.lexsort((hashes, table.value[_cell(hashes)], owners))
+                hashes, weights, owners = hashes[by], weights[by], owners[by]
+                size = np.bincount(owners, weights=weights, minlength=b - a).astype(np.int64)
+                total = np.cumsum(weights) - weights
+                first = np.searchsorted(owners, np.arange(b - a))
+                before = total - total[np.minimum(first, len(total) - 1)][owners] if len(total) else total
+                kept = similar[1] * (size[owners] - before) >= similar[0] * size[owners]
+                at = owners[kept]
+                columns = [hashes[kept].view(np.int64), no[a:b][at], root[a:b][at], before[kept], size[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return texts.select("no", "root", "text").mapInArrow(run, PREFIXES)
+
+
+def open_pairs(texts: DataFrame, shingles, similar: tuple[int, int]) -> DataFrame:
+    """``a, b``: pairs of ``no`` under different roots that may be similar.
+
+    ``texts`` has ``no, root, text``. Texts that share a shingle are compared only if one
+    of them is not of the root that most of them have.
+    """
+    rows = materialise(prefixes(texts, shingles, similar), scratch_path(texts.sparkSession, "near-prefixes"))
+    per_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    most = per_root.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    most = most.where("roots > 1").select("shingle", F.col("most.root").alias("most_root"))
+    few = rows.join(most, "shingle").where("root <> most_root").select(
+        "shingle", F.col("no").alias("other"), F.col("root").alias("other_root"),
+        F.col("before").alias("other_before"), F.col("size").alias("other_size"),
+    )
+    # Shared weight is at most what is left of the lighter one; similar texts share
+    # similar / (1 + similar) of both.
+    left = F.least(F.col("size") - F.col("before"), F.col("other_size") - F.col("other_before"))
+    enough = sum(similar) * left >= similar[0] * (F.col("size") + F.col("other_size"))
+    pairs = rows.join(few, (rows["shingle"] == few["shingle"]) & (F.col("root") != F.col("other_root")) & enough)
+    return pairs.select(F.least("no", "other").alias("a"), F.greatest("no", "other").alias("b")).distinct()
