@@ -25,7 +25,7 @@ from wirepulse.session import materialise, scratch_path
 #: Documents with this remainder of crc32(id) mod 7 are held out.
 HELD_OUT, PARTS = 2, 7
 #: Bytes of text in a chunk, about: the documents that share one look-up in the counts.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: Stands for the end of a text among the words, which hold no white space.
 END = b"\n"
 #: Fills the contexts before a text, and ends it, among the bytes.
