@@ -305,6 +305,30 @@ def test_edited_passages_are_found():
         assert found.get(item) == (least if least <= int(decontamination.EDIT_RATE * len(passage)) else None)
 
 
+def test_edited_passages_at_the_edges_of_documents():
+    rng = random.Random(7)
+    passages = [(k, " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 8))) for _ in range(30))[:rng.choice([60, 110, 160])].strip().encode()) for k in range(20)]
+    index = decontamination.build_index(passages)
+    for turn in range(200):
+        item, passage = rng.choice(passages)
+        budget = int(decontamination.EDIT_RATE * len(passage))
+        edited = bytearray(passage)
+        if turn % 2:
+            del edited[:rng.randrange(budget + 2)]
+        for _ in range(rng.randrange(budget + 2) * (1 - turn % 2)):
+            edited.pop(rng.randrange(len(edited)))
+        for text in (bytes(edited), bytes(edited) + b" and after", b"before " + bytes(edited)):
+            found = {name: edits for _, name, edits in decontamination.search(index, [b"", text, b"next"])}
+            least = brute.edits_within(passage, decontamination.normal(text))
+            assert found.get(item) == (least if least <= budget else None)
+
+
+def test_a_letter_missing_in_a_whole_document():
+    passage = b"abcdefghijklmnopqrstuvwxyz"
+    index = decontamination.build_index([(1, passage)])
+    assert decontamination.search(index, [passage.replace(b"m", b"")]) == [(0, 1, 1)]
+
+
 def test_benchmark_in_blocks(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.leaks(documents, items).collect()}

@@ -93,18 +93,21 @@ def build_index(rows: list[tuple]) -> Index:
     return Index(items, texts, budget, needed, distinct, np.append(first, len(by)), piece[by], offset[by], table)
 
 
-def distance(passage: bytes, region: bytes, budget: int) -> int | None:
+def distance(passage: bytes, region: bytes, budget: int, before: int = 0) -> int | None:
     """Edits between the passage and some stretch of the region, if within the budget.
 
-    The stretch begins at any of the region's diagonals; only those are computed.
+    The stretch begins at any of the region's diagonals; only those are computed. Where a
+    document's start clips the region, ``before`` adds the diagonals ahead of it.
     """
     if passage in region:
         return 0
-    width = len(region) - len(passage) + 1 + budget
+    width = before + len(region) - len(passage) + 1 + budget
     if width < 1:
         return None
     a = np.frombuffer(passage, np.uint8)
-    b = np.concatenate([np.frombuffer(region, np.uint8), np.zeros(width + budget, np.uint8)])
+    # What lies outside the region matches no byte.
+    b = np.full(len(a) + width, -1, np.int16)
+    b[before:before + len(region)] = np.frombuffer(region, np.uint8)
     steps = np.arange(width)
     row = np.zeros(width, np.int64)
     for i, symbol in enumerate(a):
@@ -157,7 +160,8 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
         budget, passage = int(index.budget[piece]), index.texts[piece]
         low = (band - 1) * BAND - PASSAGE - budget
         high = low + 2 * BAND + len(passage) + 2 * budget
-        edits = distance(passage, joined[max(low, int(starts[doc])):max(0, min(high, int(starts[doc + 1]) - Q))], budget)
+        start, end = int(starts[doc]), int(starts[doc + 1]) - Q
+        edits = distance(passage, joined[max(low, start):min(high, end)], budget, min(budget, max(0, start - low)))
         if edits is not None:
             name = (doc, index.items[piece])
             found[name] = min(edits, found.get(name, edits))
