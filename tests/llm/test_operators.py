@@ -329,6 +329,22 @@ def test_a_letter_missing_in_a_whole_document():
     assert decontamination.search(index, [passage.replace(b"m", b"")]) == [(0, 1, 1)]
 
 
+def test_excerpts_from_the_middle_of_items(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join("".join(rng.choice("etaoins") for _ in range(rng.randrange(2, 9))) for _ in range(words))) for k, words in enumerate([18, 25, 40, 60, 90])]
+    docs = []
+    for k, text in items:
+        for _ in range(6):
+            size = rng.randrange(decontamination.PASSAGE + decontamination.STRIDE - 1, 121)
+            start = rng.randrange(max(1, len(text) - size))
+            docs.append((len(docs), "Some prose of its own, " + text[start:start + size] + " and more of it.", str(k)))
+    docs.append((len(docs), " ".join(items[1][1].split()[:17]), "1"))
+    docs.append((len(docs), " ".join(items[2][1].split()[10:30]), "2"))
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.decontamination_report(frame, benchmark).collect()}
+    assert got == {doc: item for doc, _, item in docs}
+
+
 def test_benchmark_in_blocks(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.leaks(documents, items).collect()}

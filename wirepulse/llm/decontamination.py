@@ -17,8 +17,10 @@ from wirepulse.session import materialise, scratch_path
 Q = 8
 #: Edits allowed, as a share of a passage's bytes.
 EDIT_RATE = 0.08
-#: Longer items are looked for in passages of this many bytes, every half of it.
-PASSAGE = 160
+#: Longer items are looked for in passages of this many bytes, one every ``STRIDE``; so any excerpt
+#: of ``PASSAGE + STRIDE - 1`` bytes holds a whole one.
+PASSAGE = 80
+STRIDE = PASSAGE // 4
 #: One index covers passages of about this many bytes; a larger benchmark is taken in turns.
 BLOCK_BYTES = 2 << 20
 #: Bands cover twice this many diagonals and overlap by half; more than the largest budget.
@@ -45,7 +47,7 @@ def passages(benchmark: DataFrame) -> DataFrame:
                 if len(text) < Q:
                     continue
                 last = max(0, len(text) - PASSAGE)
-                for start in sorted({*range(0, last, PASSAGE // 2), last}):
+                for start in sorted({*range(0, last, STRIDE), last}):
                     ids.append(item)
                     parts.append(text[start:start + PASSAGE])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["item_id", "passage"])
@@ -147,8 +149,9 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
     count = index.first[at + 1] - index.first[at]
     entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[at], count)
     place, piece = np.repeat(places, count), index.piece[entry]
-    band = (place - index.offset[entry] + PASSAGE) // BAND + 1
-    n, n_bands = len(index.texts), len(joined) // BAND + PASSAGE
+    longest = max(map(len, index.texts))
+    band = (place - index.offset[entry] + longest) // BAND + 1
+    n, n_bands = len(index.texts), len(joined) // BAND + longest
     doc = np.searchsorted(starts, place, side="right") - 1
     # Bands of a document, each counted with its upper half and as the lower half of the one before.
     key = ((doc * n_bands + band) * n + piece)
@@ -158,7 +161,7 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
         rest, piece = divmod(key, n)
         doc, band = divmod(rest, n_bands)
         budget, passage = int(index.budget[piece]), index.texts[piece]
-        low = (band - 1) * BAND - PASSAGE - budget
+        low = (band - 1) * BAND - longest - budget
         high = low + 2 * BAND + len(passage) + 2 * budget
         start, end = int(starts[doc]), int(starts[doc + 1]) - Q
         edits = distance(passage, joined[max(low, start):min(high, end)], budget, min(budget, max(0, start - low)))
