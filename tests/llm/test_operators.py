@@ -345,6 +345,23 @@ def test_excerpts_from_the_middle_of_items(spark):
     assert got == {doc: item for doc, _, item in docs}
 
 
+def test_an_edit_in_items_of_few_bytes():
+    for item in (b"wind over sea", b"a kingly crown", b"the quick mouse"):
+        index = decontamination.build_index([(1, item)])
+        for at in range(len(item)):
+            for edited in (item[:at] + item[at + 1:], item[:at] + b"~" + item[at + 1:], item[:at] + b"~" + item[at:]):
+                least = brute.edits_within(item, decontamination.normal(edited))
+                assert decontamination.search(index, [edited]) == ([(0, 1, least)] if least <= 1 else [])
+
+
+def test_edits_at_one_place_of_an_item(spark):
+    text = " ".join("".join(random.Random(k).choice("etaoinshr") for _ in range(5)) for k in range(19))[:110]
+    benchmark = spark.createDataFrame([(1, text), (2, "wind over sea")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text[:51] + text[59:]), (2, "some wind xver sea there"), (3, text[51:59])], "doc_id long, text string")
+    rows = decontamination.decontamination_report(docs, benchmark).collect()
+    assert {(r["doc_id"], r["items"], r["distance"]) for r in rows} == {(1, "1", 8), (2, "2", 1), (3, "", None)}
+
+
 def test_benchmark_in_blocks(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.leaks(documents, items).collect()}

@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from wirepulse.llm.text import map_texts, utf8
 from wirepulse.session import materialise, scratch_path
 
-#: Characters (bytes of the normal form) in a q-gram.
+#: Items and texts of fewer bytes (in normal form) match nothing; texts are kept so far apart.
 Q = 8
+#: Bytes in a q-gram: the first of these with which the lemma asks a passage for a shared one.
+#: The last does so for any passage of ``Q`` bytes or more.
+GRAMS = (8, 4)
 #: Edits allowed, as a share of a passage's bytes.
 EDIT_RATE = 0.08
 #: Longer items are looked for in passages of this many bytes, one every ``STRIDE``; so any excerpt
 #: of ``PASSAGE + STRIDE - 1`` bytes holds a whole one.
 PASSAGE = 80
 STRIDE = PASSAGE // 4
+#: And in longer passages, every half of it, whose budget allows more edits at one place.
+LONG = 160
 #: One index covers passages of about this many bytes; a larger benchmark is taken in turns.
 BLOCK_BYTES = 2 << 20
-#: Bands cover twice this many diagonals and overlap by half; more than the largest budget.
-BAND = 16
 TABLE_BITS = 20
 
 HITS = "doc_id long, item_id long, distance long"
@@ -36,6 +39,12 @@ def normal(text: bytes) -> bytes:
     return b" ".join(lower.split())
 
 
+def cuts(text: bytes, size: int, stride: int) -> set[bytes]:
+    """Passages of ``size`` bytes, one every ``stride`` and one at the end; a shorter text whole."""
+    last = max(0, len(text) - size)
+    return {text[start:start + size] for start in (*range(0, last, stride), last)}
+
+
 def passages(benchmark: DataFrame) -> DataFrame:
     """``item_id, passage``: items in normal form, long ones cut into overlapping passages."""
 
@@ -46,10 +55,9 @@ def passages(benchmark: DataFrame) -> DataFrame:
                 text = normal(text)
                 if len(text) < Q:
                     continue
-                last = max(0, len(text) - PASSAGE)
-                for start in sorted({*range(0, last, STRIDE), last}):
+                for part in sorted(cuts(text, PASSAGE, STRIDE) | cuts(text, LONG, LONG // 2)):
                     ids.append(item)
-                    parts.append(text[start:start + PASSAGE])
+                    parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["item_id", "passage"])
 
     return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, passage binary")
@@ -59,6 +67,7 @@ def passages(benchmark: DataFrame) -> DataFrame:
 class Index:
     """Q-grams of some passages: where each occurs, and what each passage must share."""
 
+    q: int
     items: list
     texts: list[bytes]
     budget: np.ndarray
@@ -70,9 +79,20 @@ class Index:
     table: np.ndarray
 
 
-def grams(text: bytes) -> np.ndarray:
+def grams(text: bytes, q: int) -> np.ndarray:
     """The q-gram at each position as one integer."""
-    return np.ndarray((max(0, len(text) - Q + 1),), "<u8", text, strides=(1,)).copy()
+    codes = np.ndarray((max(0, len(text) - q + 1),), "<u8", text + bytes(8 - q), strides=(1,))
+    return codes & np.uint64((1 << 8 * q) - 1)
+
+
+def budget_of(length: int) -> int:
+    """Edits allowed in a passage of so many bytes."""
+    return int(EDIT_RATE * length)
+
+
+def gram_of(length: int) -> int:
+    """Bytes in the q-grams by which a passage of so many bytes is looked for."""
+    return next(q for q in GRAMS if q == GRAMS[-1] or length - q + 1 - budget_of(length) * q > 0)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -82,17 +102,18 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 def build_index(rows: list[tuple]) -> Index:
     items, texts = [r[0] for r in rows], [bytes(r[1]) for r in rows]
     length = np.array([len(t) for t in texts], np.int64)
-    budget = (EDIT_RATE * length).astype(np.int64)
-    # An edit touches at most Q q-grams; what is left of them must be shared.
-    needed = np.maximum(1, length - Q + 1 - budget * Q)
-    codes = np.concatenate([grams(t) for t in texts])
-    piece = np.repeat(np.arange(len(texts)), length - Q + 1)
-    offset = np.concatenate([np.arange(n - Q + 1) for n in length])
+    budget = np.array([budget_of(len(t)) for t in texts], np.int64)
+    q = min(gram_of(len(t)) for t in texts)
+    # An edit touches at most q q-grams; what is left of them must be shared.
+    needed = length - q + 1 - budget * q
+    codes = np.concatenate([grams(t, q) for t in texts])
+    piece = np.repeat(np.arange(len(texts)), length - q + 1)
+    offset = np.concatenate([np.arange(n - q + 1) for n in length])
     by = np.argsort(codes, kind="stable")
     distinct, first = np.unique(codes[by], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[_slot(distinct)] = True
-    return Index(items, texts, budget, needed, distinct, np.append(first, len(by)), piece[by], offset[by], table)
+    return Index(q, items, texts, budget, needed, distinct, np.append(first, len(by)), piece[by], offset[by], table)
 
 
 def distance(passage: bytes, region: bytes, budget: int, before: int = 0) -> int | None:
@@ -127,7 +148,7 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
     norms = [normal(text) for text in texts]
     starts = np.cumsum([0, *(len(t) + Q for t in norms)])
     joined = gap.join(norms) + gap
-    codes = grams(joined)
+    codes = grams(joined, index.q)
     known = index.table[_slot(codes)]
     # All q-grams of a match lie in one window; elsewhere nothing is looked up. The windows of
     # longer passages are covered by several short ones, one of which holds its part.
@@ -149,9 +170,10 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
     count = index.first[at + 1] - index.first[at]
     entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[at], count)
     place, piece = np.repeat(places, count), index.piece[entry]
-    longest = max(map(len, index.texts))
-    band = (place - index.offset[entry] + longest) // BAND + 1
-    n, n_bands = len(index.texts), len(joined) // BAND + longest
+    # Bands cover twice this many diagonals and overlap by half; more than the largest budget.
+    half, longest = int(index.budget.max()) + 1, max(map(len, index.texts))
+    band = (place - index.offset[entry] + longest) // half + 1
+    n, n_bands = len(index.texts), (len(joined) + longest) // half + 2
     doc = np.searchsorted(starts, place, side="right") - 1
     # Bands of a document, each counted with its upper half and as the lower half of the one before.
     key = ((doc * n_bands + band) * n + piece)
@@ -161,8 +183,8 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
         rest, piece = divmod(key, n)
         doc, band = divmod(rest, n_bands)
         budget, passage = int(index.budget[piece]), index.texts[piece]
-        low = (band - 1) * BAND - longest - budget
-        high = low + 2 * BAND + len(passage) + 2 * budget
+        low = (band - 1) * half - longest - budget
+        high = low + 2 * half + len(passage) + 2 * budget
         start, end = int(starts[doc]), int(starts[doc + 1]) - Q
         edits = distance(passage, joined[max(low, start):min(high, end)], budget, min(budget, max(0, start - low)))
         if edits is not None:
@@ -187,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, distance`` of every document that holds an item's passage.
 
     A document holds a passage if some stretch of its normal form is within ``EDIT_RATE``
-    edits per byte of it. Such a stretch shares ``length - Q + 1 - edits * Q`` q-grams with
+    edits per byte of it. Such a stretch shares ``length - q + 1 - edits * q`` q-grams with
     the passage, on diagonals no further apart than the edits; documents are searched for
     bands with so many, and each of them is proved by alignment. Only the index of one
     block of passages, bounded by ``BLOCK_BYTES``, is broadcast at a time.
@@ -203,8 +225,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = spark.createDataFrame([], HITS)
     for number in range(n_blocks):
         rows = [tuple(row) for row in parts.where(block == number).orderBy("item_id", "passage").collect()]
-        if rows:
-            index = spark.sparkContext.broadcast(build_index(rows))
+        # Long and short passages apart: each kind's filter is sharper without the other.
+        kinds = [(gram_of(len(row[1])), len(row[1]) > PASSAGE) for row in rows]
+        for kind in sorted(set(kinds)):
+            index = build_index([row for row, its in zip(rows, kinds, strict=True) if its == kind])
+            index = spark.sparkContext.broadcast(index)
             found = found.unionByName(map_texts(docs, None, HITS, lambda index=index: _finder(index.value)))
     return found
 
