@@ -362,6 +362,17 @@ def test_edits_at_one_place_of_an_item(spark):
     assert {(r["doc_id"], r["items"], r["distance"]) for r in rows} == {(1, "1", 8), (2, "2", 1), (3, "", None)}
 
 
+def test_repeated_items_are_indexed_once(spark, monkeypatch):
+    text = " ".join(f"w{k * k}" for k in range(40))
+    benchmark = spark.createDataFrame([(1, text)] * 300 + [(k, text) for k in range(2, 40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "none of it")], "doc_id long, text string")
+    built, build = [], decontamination.build_index
+    monkeypatch.setattr(decontamination, "build_index", lambda rows: (built.extend(bytes(r[1]) for r in rows), build(rows))[1])
+    got = sorted(((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in decontamination.leaks(docs, benchmark).collect()))
+    assert got == [(doc, item, 0) for doc in (0, 1) for item in range(1, 40)]
+    assert len(built) == len(set(built)) > 0
+
+
 def test_benchmark_in_blocks(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.leaks(documents, items).collect()}

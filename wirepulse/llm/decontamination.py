@@ -30,7 +30,7 @@ LONG = 160
 BLOCK_BYTES = 2 << 20
 TABLE_BITS = 20
 
-HITS = "doc_id long, item_id long, distance long"
+HITS = "doc_id long, passage binary, distance long"
 
 
 def normal(text: bytes) -> bytes:
@@ -198,7 +198,7 @@ def _finder(index: Index) -> Callable:
         hits = search(index, texts)
         return {
             "doc_id": ids.take(pa.array([doc for doc, _, _ in hits], pa.int64())),
-            "item_id": [item for _, item, _ in hits],
+            "passage": [passage for _, passage, _ in hits],
             "distance": [edits for _, _, edits in hits],
         }
 
@@ -215,23 +215,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block of passages, bounded by ``BLOCK_BYTES``, is broadcast at a time.
 
     Null or empty texts and items match nothing, nor do items of under ``Q`` bytes; equal
-    items are reported each under its id; repeated rows give repeated hits.
+    items are reported each under its id; repeated rows of documents count once.
     """
     spark = docs.sparkSession
-    parts = materialise(passages(benchmark), scratch_path(spark, "benchmark-passages"))
-    size = parts.agg(F.sum(F.length("passage"))).first()[0] or 0
+    parts = materialise(passages(benchmark).distinct(), scratch_path(spark, "benchmark-passages"))
+    # Equal passages are indexed once, however many items hold them.
+    texts = materialise(parts.select("passage").distinct(), scratch_path(spark, "benchmark-texts"))
+    size = texts.agg(F.sum(F.length("passage"))).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("item_id", "passage"), F.lit(max(1, n_blocks)))
+    block = F.pmod(F.xxhash64("passage"), F.lit(max(1, n_blocks)))
     found = spark.createDataFrame([], HITS)
     for number in range(n_blocks):
-        rows = [tuple(row) for row in parts.where(block == number).orderBy("item_id", "passage").collect()]
+        rows = [(row[0], row[0]) for row in texts.where(block == number).orderBy("passage").collect()]
         # Long and short passages apart: each kind's filter is sharper without the other.
         kinds = [(gram_of(len(row[1])), len(row[1]) > PASSAGE) for row in rows]
         for kind in sorted(set(kinds)):
             index = build_index([row for row, its in zip(rows, kinds, strict=True) if its == kind])
             index = spark.sparkContext.broadcast(index)
             found = found.unionByName(map_texts(docs, None, HITS, lambda index=index: _finder(index.value)))
-    return found
+    hits = found.groupBy("doc_id", "passage").agg(F.min("distance").alias("distance"))
+    return hits.join(parts, "passage").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
