@@ -26,7 +26,7 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Slots whose last four bits must agree before texts are compared: expected 78 at 0.8,
-#: and fewer than 60 once in a million.
+#: and fewer than 60 about five times in a million.
 AGREEING = 60
 
 #: Members of each bucket that all its other members are tested against first.
@@ -251,8 +251,9 @@ def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     Texts sharing a band value form a bucket. First each bucket tests its members against a
     few of them, so a group of copies costs a few tests per member. Buckets that still hold
     several components then test all pairs that are not in one component: small buckets each
-    pair, the texts of larger ones the pairs that an exact prefix filter leaves. No link is
-    lost: what is skipped is not similar, or could only join what is joined.
+    pair, the texts of larger ones the pairs that an exact prefix filter leaves. Links
+    are lost only by banding and the sketch filter, some 8 in a million pairs at exactly 0.8;
+    what else is skipped is not similar, or could only join what is joined.
     """
     spark = docs.sparkSession
 
