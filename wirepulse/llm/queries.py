@@ -17,6 +17,7 @@ from wirepulse.llm import (
     quality_rules,
     secret_scan,
     token_files,
+    word_runs,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,10 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, trees)
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_report(word_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_mix_sources": mix,
@@ -81,8 +86,10 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": quality,
     "op9_lm_scoring": language_model,
     "op10_quality_classifier": classified,
+    "op11_word_runs": periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op11_word_runs": word_runs.ORACLE_SQL,
 }
