@@ -16,16 +16,14 @@ from wirepulse.llm import word_runs
 
 def plain_runs(words: list) -> list[tuple]:
     """Every stretch of a period that cannot be extended, each at its smallest period."""
+    numbers = {word: k for k, word in enumerate(words)}
+    ids = np.array([numbers[word] for word in words], np.int64)
     best = {}
-    for q in range(len(words) // 4, 0, -1):
-        i = 0
-        while i + q < len(words):
-            start = i
-            while i + q < len(words) and words[i] == words[i + q]:
-                i += 1
-            if i - start + q >= max(6, 4 * q):
-                best[start, i - start + q] = q
-            i += i == start
+    for q in range(len(ids) // 4, 0, -1):
+        edges = np.diff(np.concatenate([[0], ids[:-q] == ids[q:], [0]]).astype(int))
+        for start, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+            if end - start + q >= max(6, 4 * q):
+                best[start, end - start + q] = q
     return sorted((s, length, q) for (s, length), q in best.items())
 
 
