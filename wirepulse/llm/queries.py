@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wirepulse.llm import (
+    chat_format,
     decontamination,
+    filter_audit,
     license_scan,
     lm_scoring,
     mixing,
@@ -75,6 +77,14 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_report(word_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
 
 
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(chat_format.with_hostile_chat(_table(spark, sf_dir, "conversations")))
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_mix_sources": mix,
@@ -87,9 +97,13 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": language_model,
     "op10_quality_classifier": classified,
     "op11_word_runs": periodic_runs,
+    "op12_chat_format": chats,
+    "op13_filter_audit": filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op11_word_runs": word_runs.ORACLE_SQL,
+    "op12_chat_format": chat_format.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
