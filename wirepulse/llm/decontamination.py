@@ -30,13 +30,23 @@ LONG = 160
 BLOCK_BYTES = 2 << 20
 TABLE_BITS = 20
 
+#: Documents are searched in groups of this many bytes; a longer one in windows of as many, which overlap.
+WINDOW = 1 << 20
+#: Entries of the index that are laid out at once.
+ENTRIES = 1 << 18
+
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
 HITS = "doc_id long, passage binary, distance long"
 
 
 def normal(text: bytes) -> bytes:
     """Lower case, one space between words."""
     lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
-    return b" ".join(lower.split())
+    lower = lower.translate(_SPACES)
+    while b"  " in lower:
+        lower = lower.replace(b"  ", b" ")
+    return lower.strip(b" ")
 
 
 def cuts(text: bytes, size: int, stride: int) -> set[bytes]:
@@ -142,55 +152,107 @@ def distance(passage: bytes, region: bytes, budget: int, before: int = 0) -> int
     return int(row.min())
 
 
+def _windows(text: bytes, overlap: int) -> list[bytes]:
+    """The text in parts of ``WINDOW`` bytes, any ``overlap`` bytes of it whole in one of them."""
+    step = max(1, WINDOW - overlap)
+    return [text[at:at + step + overlap] for at in range(0, max(1, len(text) - overlap), step)]
+
+
 def search(index: Index, texts: list[bytes]) -> list[tuple[int, object, int]]:
-    """``(text number, item, edits)`` of each item with a passage within its budget."""
-    gap = bytes(Q)
-    norms = [normal(text) for text in texts]
-    starts = np.cumsum([0, *(len(t) + Q for t in norms)])
-    joined = gap.join(norms) + gap
-    codes = grams(joined, index.q)
+    """``(text number, item, edits)`` of each item with a passage within its budget.
+
+    A match is no longer than a passage and its budget, so windows that overlap by as much
+    find all that the whole text holds; memory is that of one window.
+    """
+    overlap = max(map(len, index.texts)) + int(index.budget.max())
+    found: dict[tuple[int, object], int] = {}
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        for at, piece, edits in _search(index, [part for _, part in held]):
+            name = (held[at][0], index.items[piece])
+            found[name] = min(edits, found.get(name, edits))
+        held.clear()
+
+    for number, text in enumerate(texts):
+        for part in _windows(normal(text), overlap):
+            if held and size + len(part) > WINDOW:
+                flush()
+                size = 0
+            held.append((number, part))
+            size += len(part)
+    flush()
+    return [(doc, item, edits) for (doc, item), edits in found.items()]
+
+
+def _places(index: Index, codes: np.ndarray) -> np.ndarray:
+    """Places whose q-gram the index may know, where a window around holds enough of such."""
     known = index.table[_slot(codes)]
     # All q-grams of a match lie in one window; elsewhere nothing is looked up. The windows of
     # longer passages are covered by several short ones, one of which holds its part.
     reach = np.array([len(t) for t in index.texts]) + index.budget
-    window = int(reach.min())
+    window, wide = int(reach.min()), int(reach.max())
     least = int((-(-index.needed // -(-reach // window))).min())
-    seen = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-    ahead = np.minimum(np.arange(len(codes)) + window, len(codes))
-    dense = np.concatenate([[0], np.cumsum(seen[ahead] - seen[:-1] >= least, dtype=np.int32)])
+    seen = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(known, out=seen[1:])
+    gained = np.full(len(codes), seen[-1], np.int32)
+    gained[:max(0, len(codes) - window)] = seen[window:-1]
+    gained -= seen[:-1]
+    dense = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(gained >= least, out=dense[1:])
     if not dense[-1]:
-        return []
+        return np.zeros(0, np.int64)
     places = np.flatnonzero(known)
-    wide = int(reach.max())
     near = dense[np.minimum(places + wide, len(codes))] > dense[np.maximum(places - wide, 0)]
-    places = places[near]
+    return places[near]
+
+
+def _search(index: Index, norms: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """``(text number, piece, edits)`` for texts in normal form, one after the other."""
+    gap = bytes(Q)
+    starts = np.cumsum([0, *(len(t) + Q for t in norms)])
+    joined = gap.join(norms) + gap
+    codes = grams(joined, index.q)
+    places = _places(index, codes)
     at = np.minimum(np.searchsorted(index.codes, codes[places]), len(index.codes) - 1)
     same = index.codes[at] == codes[places]
     places, at = places[same], at[same]
     count = index.first[at + 1] - index.first[at]
-    entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[at], count)
-    place, piece = np.repeat(places, count), index.piece[entry]
     # Bands cover twice this many diagonals and overlap by half; more than the largest budget.
     half, longest = int(index.budget.max()) + 1, max(map(len, index.texts))
-    band = (place - index.offset[entry] + longest) // half + 1
     n, n_bands = len(index.texts), (len(joined) + longest) // half + 2
-    doc = np.searchsorted(starts, place, side="right") - 1
-    # Bands of a document, each counted with its upper half and as the lower half of the one before.
-    key = ((doc * n_bands + band) * n + piece)
-    region, shared = np.unique(np.concatenate([key, key - n]), return_counts=True)
-    found: dict[tuple[int, object], int] = {}
-    for key in region[shared >= index.needed[region % n]].tolist():
-        rest, piece = divmod(key, n)
-        doc, band = divmod(rest, n_bands)
-        budget, passage = int(index.budget[piece]), index.texts[piece]
-        low = (band - 1) * half - longest - budget
-        high = low + 2 * half + len(passage) + 2 * budget
-        start, end = int(starts[doc]), int(starts[doc + 1]) - Q
-        edits = distance(passage, joined[max(low, start):min(high, end)], budget, min(budget, max(0, start - low)))
-        if edits is not None:
-            name = (doc, index.items[piece])
-            found[name] = min(edits, found.get(name, edits))
-    return [(doc, item, edits) for (doc, item), edits in found.items()]
+    open_keys, open_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(count)
+    first = 0
+    while first < len(places):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + ENTRIES, side="right")))
+        some, held = slice(first, last), count[first:last]
+        entry = np.arange(held.sum()) - np.repeat(ends[some] - held - before, held) + np.repeat(index.first[at[some]], held)
+        place = np.repeat(places[some], held)
+        band = (place - index.offset[entry] + longest) // half + 1
+        doc = np.searchsorted(starts, place, side="right") - 1
+        # Bands of a document, each counted with its upper half and as the lower half of the one before.
+        key = (doc * n_bands + band) * n + index.piece[entry]
+        keys, which = np.unique(np.concatenate([key, key - n, open_keys]), return_inverse=True)
+        shared = np.bincount(which, weights=np.concatenate([np.ones(2 * len(key)), open_counts]), minlength=len(keys)).astype(np.int64)
+        first = last
+        # A band that ends before the next place gets no more entries.
+        ended = np.ones(len(keys), bool)
+        if first < len(places):
+            ended = (keys // n % n_bands + 1) * half <= places[first]
+        for key in keys[ended & (shared >= index.needed[keys % n])].tolist():
+            rest, piece = divmod(key, n)
+            doc, band = divmod(rest, n_bands)
+            budget, passage = int(index.budget[piece]), index.texts[piece]
+            low = (band - 1) * half - longest - budget
+            high = low + 2 * half + len(passage) + 2 * budget
+            start, end = int(starts[doc]), int(starts[doc + 1]) - Q
+            edits = distance(passage, joined[max(low, start):min(high, end)], budget, min(budget, max(0, start - low)))
+            if edits is not None:
+                yield doc, piece, edits
+        open_keys, open_counts = keys[~ended], shared[~ended]
 
 
 def _finder(index: Index) -> Callable:
@@ -232,7 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for kind in sorted(set(kinds)):
             index = build_index([row for row, its in zip(rows, kinds, strict=True) if its == kind])
             index = spark.sparkContext.broadcast(index)
-            found = found.unionByName(map_texts(docs, None, HITS, lambda index=index: _finder(index.value)))
+            found = found.unionByName(map_texts(docs, None, HITS, lambda index=index: _finder(index.value), WINDOW))
     hits = found.groupBy("doc_id", "passage").agg(F.min("distance").alias("distance"))
     return hits.join(parts, "passage").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 

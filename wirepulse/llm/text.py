@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BLANKS = b" \t\n\v\f\r"
@@ -48,19 +49,35 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
-def map_texts(docs: DataFrame, rows: Rows, ddl: str, make: Callable[[], Rows] | None = None) -> DataFrame:
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column that hold about ``limit`` bytes, without copying the texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, end
+        start = end
+
+
+def map_texts(
+    docs: DataFrame, rows: Rows, ddl: str, make: Callable[[], Rows] | None = None, limit: int | None = None
+) -> DataFrame:
     """Apply ``rows(ids, texts) -> columns`` to groups of ``doc_id, text``; nothing is shuffled.
 
-    ``make`` builds the function once per task where it needs a costly state.
+    ``make`` builds the function once per task where it needs a costly state. With ``limit``
+    groups hold so many bytes, and only one at a time is copied out of a batch.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ddl)
         work = make() if make else rows
         for batch in batches:
-            ids, texts = batch.column(0), utf8(batch.column(1))
-            for a, b in groups(texts):
-                columns = work(ids.slice(a, b - a), texts[a:b])
+            ids, column = batch.column(0), batch.column(1)
+            texts = None if limit else utf8(column)
+            for a, b in slices(column, limit) if limit else groups(texts):
+                columns = work(ids.slice(a, b - a), utf8(column.slice(a, b - a)) if limit else texts[a:b])
                 yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
