@@ -33,6 +33,8 @@ GAIN = 24
 #: The model's shares and frequencies are brought up to date at each of the first steps,
 #: then every so many.
 EARLY, EVERY = 8, 8
+#: Buckets in which ids are looked up when decoding.
+BUCKET_BITS = 16
 
 #: The range is at least 2 ** 48, room for a share and a frequency.
 _LEAST = np.uint64(1 << 48)
@@ -58,12 +60,30 @@ class Model:
     def _tabulate(self) -> None:
         self.cumulative = np.zeros(len(self.counts) + 1, np.uint64)
         np.cumsum(self.counts.view(np.uint64), out=self.cumulative[1:])
+        self.first = None
         shares = 1 + self.hits * ((1 << SHARE_BITS) - 3) // self.hits.sum(axis=1, keepdims=True)
         shares[:, 2] += (1 << SHARE_BITS) - shares.sum(axis=1)
         starts = np.cumsum(shares, axis=1) - shares
         self.shares, self.starts = shares.astype(np.uint64).ravel(), starts.astype(np.uint64).ravel()
         self.second, self.third = self.starts[1::3].copy(), self.starts[2::3].copy()
 
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id whose part of the order-0 range holds each value.
+
+        The range is cut into equal buckets with the id at the start of each; a value that is
+        past that id's part is searched for.
+        """
+        if self.first is None:
+            self.shift = np.uint64(max(0, int(self.cumulative[-1]).bit_length() - BUCKET_BITS))
+            size = (np.uint64(1) << self.shift) - np.uint64(1)
+            starts = ((self.cumulative + size) >> self.shift).view(np.int64)
+            self.first = np.repeat(np.arange(len(self.counts)), np.diff(starts))
+        value = np.minimum(value, self.cumulative[-1] - np.uint64(1))
+        found = self.first[(value >> self.shift).view(np.int64)]
+        past = np.flatnonzero(value >= self.cumulative[found + 1])
+        found[past] = np.searchsorted(self.cumulative, value[past], side="right") - 1
+        return found
+
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         slot = (before * 40503 + last).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.last, self.slot = last, (slot >> np.uint64(64 - ORDER2_BITS)).view(np.int64)
@@ -178,16 +198,14 @@ def decode(block: bytes) -> np.ndarray:
             live = lanes if step < tail else lanes - 1
             model.predict(before[:live], last[:live])
             unit = span[:live] >> _SHARE
-            value, rest_code = code[:live] // unit, code[:live]
-            context = model.context
-            kind = (value >= model.second[context]) * 1 + (value >= model.third[context])
+            rest_code, context = code[:live], model.context
+            kind = (rest_code >= unit * model.second[context]) * 1 + (rest_code >= unit * model.third[context])
             mixed = context * 3 + kind
             rest_code, width = rest_code - unit * model.starts[mixed], unit * model.shares[mixed]
             now = np.where(kind == 0, model.guess_two, model.guess_one)
             rest = np.flatnonzero(kind == 2)
             unit = width[rest] // model.cumulative[-1]
-            found = np.searchsorted(model.cumulative, rest_code[rest] // unit, side="right") - 1
-            now[rest] = found = np.minimum(found, alphabet - 1)
+            now[rest] = found = model.find(rest_code[rest] // unit)
             start = model.cumulative[found]
             rest_code[rest] -= unit * start
             width[rest] = unit * (model.cumulative[found + 1] - start)

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ END = 0
 SPECIAL = "<|endoftext|>"
 
 #: Ids in a block; a longer document makes a longer block.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 21
 #: Distinct pieces of text in one generation of a worker's memory; it keeps two.
 REMEMBERED = 600_000
+#: A last one of these is a token of its own after a letter.
+MARKS = ".,;:!?"
+#: Atoms that the library encodes as one text.
+ATOMS = 2000
 
 TABLE = "part long, block long, doc_ids array<long>, lengths array<long>, n_ids long, data binary"
 DOCUMENTS = "part long, block long, place long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -40,15 +45,38 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: What Python's ``isspace`` takes for white space.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _gathered(table: np.ndarray, first: np.ndarray, held: np.ndarray, more: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Stretches of ``held`` values from ``first`` on, one after the other; where ``more``, the final value is ``last``."""
+    ends = np.cumsum(held)
+    at = np.repeat(first - (ends - held), held) + np.arange(ends[-1])
+    if more is None:
+        return table[at]
+    out = table[np.minimum(at, len(table) - 1)] if len(table) else np.zeros(len(at), "<u4")
+    out[ends[more] - 1] = last[more]
+    return out
+
+
 class Encoder:
     """Ids of texts from a byte-level BPE of the tokenizers library.
 
     Such a vocabulary never joins bytes across a single space between two other
     characters: the space starts a new piece. So texts are cut there, every distinct piece
     is encoded by the library once, and texts are put together from the pieces' ids. A new
-    piece is cut once more, at line ends and before a last mark, which stand alone too.
+    piece is cut once more, at line ends and before a last mark, which stand alone too; the
+    atoms so found go to the library many at a time, between line ends.
     Texts with other runs of white space around a space, or with the special token's name,
     are encoded whole.
+
+    Arrow cuts and numbers the pieces and numpy puts the ids together, so Python handles
+    each distinct piece of a batch once.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,41 +86,111 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.line = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4")
+        self.marks = {mark: self.library.encode("a" + mark, add_special_tokens=False).ids[-1] for mark in MARKS}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in encoded]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
-        cut = [self._pieces(text) for text in texts]
-        known = self.known
-        found = [list(map(known.get, pieces or ())) for pieces in cut]
-        fresh = {p for pieces, ids in zip(cut, found, strict=True) if None in ids for p, one in zip(pieces, ids, strict=True) if one is None}
-        odd = {piece for piece in fresh if piece.isspace() or piece[-1].isspace() or piece[1:2].isspace()}
-        self._learn(fresh - odd)
-        whole = [at for at, pieces in enumerate(cut) if pieces is None or (odd and not odd.isdisjoint(pieces))]
-        out = dict(zip(whole, self._encode([texts[at] for at in whole]), strict=True))
-        coded = []
-        for at, (pieces, ids) in enumerate(zip(cut, found, strict=True)):
-            if at in out:
-                coded.append(out[at])
-            elif None in ids:
-                coded.append(b"".join([known[p] if one is None else one for p, one in zip(pieces, ids, strict=True)]))
+    def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
+        """Ids of texts without line ends and blank ends, from long texts that join them by line ends."""
+        out: list[bytes] = []
+        for at in range(0, len(atoms), ATOMS):
+            some = atoms[at:at + ATOMS]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line[0]).tolist()
+            if len(self.line) == 1 and len(cuts) == len(some) - 1:
+                data = ids.tobytes()
+                out += [data[4 * a:4 * b] for a, b in zip([0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)], strict=True)]
             else:
-                coded.append(b"".join(ids))
+                out += self._encode(some)
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy()
+        starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+        numbered = cut.flatten().dictionary_encode()
+        names, which = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
+        firsts = names.take(pa.array(which[starts])).to_pylist()
+        # First pieces, which have no space before them, are entries of their own.
+        which[starts] = len(names) + np.arange(len(texts))
+        odd = np.append(_mask(pc.match_substring_regex(names, f"^{_BLANK}|{_BLANK}$|^$")), np.zeros(len(texts), bool))
+        whole = (np.add.reduceat(odd[which], starts) > 0) | _mask(pc.match_substring(texts, SPECIAL))
+        whole |= np.array([name[:1].isspace() or name[-1:].isspace() or name[1:2].isspace() or (not name and n > 1) for name, n in zip(firsts, lengths, strict=True)])
+        for at in np.flatnonzero(whole).tolist():
+            # The other pieces are in the whole text's ids.
+            which[starts[at] + 1:starts[at] + lengths[at]] = -1
+        used = np.zeros(len(names) + len(texts) + 1, bool)
+        used[which] = True
+
+        marked = _mask(pc.match_substring_regex(names, f"\\p{{L}}[{MARKS}]$")) & ~_mask(pc.match_substring(names, "\n"))
+        words = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
+        word = words.indices.to_numpy().astype(np.int64)
+        wanted = np.zeros(len(words.dictionary), bool)
+        wanted[word[used[:len(names)]]] = True
+        listed = words.dictionary.filter(pa.array(wanted)).to_pylist()
+        coded = self._known_words([" " + one for one in listed])
+        place = np.cumsum(wanted) - 1
+        last = np.zeros(len(names), np.int64)
+        for mark, one in self.marks.items():
+            last[marked & _mask(pc.ends_with(names, mark))] = one
+
+        self._learn({name for name, skip in zip(firsts, whole.tolist(), strict=True) if name and not skip})
+        known = self.known
+        begun = [known[name] if name and not skip else b"" for name, skip in zip(firsts, whole.tolist(), strict=True)]
+        for at, one in zip(np.flatnonzero(whole).tolist(), self._encode([texts[at].as_py() for at in np.flatnonzero(whole).tolist()]), strict=True):
+            begun[at] = one
         if len(known) > REMEMBERED:
             self.known, self.before = {}, known
-        return coded
+        # Entries: pieces as a word and perhaps a mark, first pieces, and an empty one at the end.
+        parts = [*coded, *begun, b""]
+        table = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.array([len(one) // 4 for one in parts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        entry = np.concatenate([place[word], len(coded) + np.arange(len(texts) + 1)])
+        entry[:len(names)][~used[:len(names)]] = len(parts) - 1
+        more = np.append(marked, np.zeros(len(texts) + 1, bool))
+        held = sizes[entry] + more
+        pieces = _gathered(table, first[entry], held, more, np.append(last, np.zeros(len(texts) + 1, np.int64)))
+        begin = np.cumsum(held) - held
+        flat = _gathered(pieces, begin[which], held[which])
+        return flat, np.add.reduceat(held[which], starts)
+
+    def _known_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with their space before them; some hold line ends."""
+        known, before = self.known, self.before
+        found = list(map(known.get, words))
+        fresh = [word for word, one in zip(words, found, strict=True) if one is None]
+        known.update((word, before[word]) for word in fresh if word in before)
+        fresh = [word for word in fresh if word not in before]
+        plain = [word for word in fresh if "\n" not in word]
+        known.update(zip(plain, self._encode_atoms(plain), strict=True))
+        self._learn({word for word in fresh if "\n" in word})
+        return [known[word] if one is None else one for word, one in zip(words, found, strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian uint32."""
+        flat, sizes = self.ids(pa.array(texts, pa.large_string()))
+        return [part.tobytes() for part in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
 
     def _learn(self, pieces: set[str]) -> None:
         known, before = self.known, self.before
+        pieces = [piece for piece in pieces if piece not in known]
         atoms = {piece: self._atoms(piece) for piece in pieces if piece not in before}
         known.update((piece, before[piece]) for piece in pieces if piece in before)
         fresh = {atom for parts in atoms.values() for atom in parts if atom not in known}
         known.update((atom, before[atom]) for atom in fresh if atom in before)
         fresh = [atom for atom in fresh if atom not in before]
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+        plain = [atom for atom in fresh if "\n" not in atom]
+        lined = [atom for atom in fresh if "\n" in atom]
+        known.update(zip(plain, self._encode_atoms(plain), strict=True))
+        known.update(zip(lined, self._encode(lined), strict=True))
         for piece, parts in atoms.items():
             if len(parts) > 1:
                 known[piece] = b"".join([known[atom] for atom in parts])
@@ -106,21 +204,12 @@ class Encoder:
         for at, line in enumerate(lines):
             if at:
                 atoms.append("\n")
-            if len(line) > 2 and line[-1] in ".,;:!?" and line[-2].isalpha():
+            if len(line) > 2 and line[-1] in MARKS and line[-2].isalpha():
                 atoms += [line[:-1], line[-1]]
             else:
                 atoms.append(line)
         return atoms
 
-    @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        if not text:
-            return []
-        if SPECIAL in text or text[0].isspace():
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
