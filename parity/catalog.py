@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampNTZType, TimestampType
 
-from parity import oracle, sample_tables
+from parity import landing, oracle, sample_tables
 from wirepulse.operators import views
 from wirepulse.plans.batch import run_analyses
 from wirepulse.plans.registry import ANALYSES, Analysis
@@ -308,5 +308,9 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
     ))
     out["refresh_after_run"] = (refresh_after_run, oracle.result_sql("conflict_heatmap"))
     out["stream_then_batch_landing"] = (stream_then_batch_landing, parsed)
+    out["a01_heatmap_of_shared_input"] = (
+        lambda spark, sf_dir: present(landing.heatmap_of_shared_input(spark, sf_dir)), oracle.result_sql("conflict_heatmap"),
+    )
+    out |= landing.twins()
     out["streamed_refresh_heatmap"] = (refreshed_heatmap, oracle.result_sql("conflict_heatmap"))
     return out

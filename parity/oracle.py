@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from wirepulse.functions.lookups import CONTINENTS, ROOT_CODE_LABELS
-from wirepulse.operators.views import VIEWS
-
 EPSILON = "1e-10"
 
 
@@ -13,8 +10,14 @@ def num(expression: str) -> str:
     return f"(round(CAST({expression} AS DOUBLE) + {EPSILON}, 6) + 0.0)"
 
 
-def _values(entries: dict[str, str]) -> str:
-    return ", ".join(f"('{code}', '{label}')" for code, label in entries.items())
+# Labels of the event root codes, and continents of country codes.
+LABELS = """('01', 'Declaraciones públicas'), ('02', 'Apelaciones'), ('03', 'Expresar intención'), ('04', 'Consultar'),
+  ('05', 'Diplomacia'), ('06', 'Cooperar materialmente'), ('07', 'Dar ayuda'), ('08', 'Ceder'), ('09', 'Investigar'),
+  ('10', 'Exigir'), ('11', 'Rechazar'), ('12', 'Acusar'), ('13', 'Amenazar'), ('14', 'Protestas'), ('15', 'Obstruir'),
+  ('16', 'Coerción'), ('17', 'Asalto'), ('18', 'Ataque'), ('19', 'Violencia masiva'), ('20', 'Uso de armas no convencionales')"""
+PLACES = """('US', 'Americas'), ('CA', 'Americas'), ('MX', 'Americas'), ('BR', 'Americas'), ('UK', 'Europe'), ('FR', 'Europe'),
+  ('GM', 'Europe'), ('RS', 'Europe'), ('CH', 'Asia'), ('IN', 'Asia'), ('JA', 'Asia'), ('NI', 'Africa'), ('SF', 'Africa'),
+  ('EG', 'Africa'), ('AS', 'Oceania')"""
 
 
 NEWS_EVENTS = """news_events AS (
@@ -92,7 +95,7 @@ RESULTS: dict[str, tuple[tuple[str, ...], str]] = {
     "cameo_distribution": ((NEWS_EVENTS,), f"""
         SELECT EventRootCode, event_description, region, CAST(substr(DATEADDED, 1, 8) AS INTEGER) AS date,
           count(GlobalEventID) AS event_count
-        FROM news_events LEFT JOIN (VALUES {_values(ROOT_CODE_LABELS)}) AS labels(code, event_description)
+        FROM news_events LEFT JOIN (VALUES {LABELS}) AS labels(code, event_description)
           ON EventRootCode = code
         WHERE EventRootCode IS NOT NULL AND ActionGeo_CountryCode IS NOT NULL GROUP BY 1, 2, 3, 4"""),
     "actor_interaction_matrix": ((NEWS_EVENTS,), """
@@ -131,7 +134,7 @@ RESULTS: dict[str, tuple[tuple[str, ...], str]] = {
             FROM (SELECT substr(stamp, 1, 4) AS "year", regexp_extract(V2Locations, '#([A-Z]{{2}})#', 1) AS code,
                     split_part(split_part(unnest(string_split(V2Themes, ';')), '#', 1), ',', 1) AS theme
                   FROM gkg WHERE V2Themes <> '') t
-            LEFT JOIN (VALUES {_values(CONTINENTS)}) AS places(place, continent) ON t.code = place
+            LEFT JOIN (VALUES {PLACES}) AS places(place, continent) ON t.code = place
             WHERE theme <> '' GROUP BY 1, 2, 3))
         WHERE rank <= 10"""),
     "top_organizations": ((GKG,), """
@@ -231,10 +234,28 @@ def result_sql(result: str) -> str:
     return query(relations, body, COLUMNS[result])
 
 
-def _order(sort: tuple[str, ...]) -> str:
-    return ", ".join(
-        f'"{name[1:]}" DESC NULLS LAST' if name.startswith("-") else f'"{name}" ASC NULLS FIRST' for name in sort
-    )
+# Pages of the result sets: order and size.
+PAGES = {
+    "V01": ("conflict_heatmap", '"date" DESC NULLS LAST, "country" ASC NULLS FIRST', 200),
+    "V02": ("top_news_countries", '"date" DESC NULLS LAST, "rank" ASC NULLS FIRST, "country" ASC NULLS FIRST', 100),
+    "V03": ("tone_source_correlation", '"date" DESC NULLS LAST, "country" ASC NULLS FIRST', 100),
+    "V04": ("cameo_distribution", '"date" DESC NULLS LAST, "event_count" DESC NULLS LAST, "EventRootCode" ASC NULLS FIRST, "region" ASC NULLS FIRST', 200),
+    "V05": ("actor_interaction_matrix", '"event_count" DESC NULLS LAST, "actor1_type" ASC NULLS FIRST, "actor2_type" ASC NULLS FIRST', 100),
+    "V06": ("media_coverage_ratio", '"mentions_per_event" DESC NULLS LAST, "country" ASC NULLS FIRST, "date" ASC NULLS FIRST', 50),
+    "V07": ("sentiment_trend", '"country" ASC NULLS FIRST, "date" ASC NULLS FIRST', 2000),
+    "V08": ("conflict_pairs", '"conflict_count" DESC NULLS LAST, "actor1_country" ASC NULLS FIRST, "actor2_country" ASC NULLS FIRST, "date" ASC NULLS FIRST', 50),
+    "V09": ("escalation_events", '"escalation_ratio" DESC NULLS LAST, "GlobalEventID" ASC NULLS FIRST, "mention_hour" ASC NULLS FIRST', 30),
+    "V10": ("religion_conflict_cluster", '"event_count" DESC NULLS LAST, "religion" ASC NULLS FIRST, "region" ASC NULLS FIRST, "date" ASC NULLS FIRST', 50),
+    "V11": ("gkg_themes_continent", '"year" DESC NULLS LAST, "continent" ASC NULLS FIRST, "rank" ASC NULLS FIRST, "theme" ASC NULLS FIRST', 200),
+    "V12": ("top_organizations", '"date" DESC NULLS LAST, "rank" ASC NULLS FIRST, "organization" ASC NULLS FIRST', 100),
+    "V13": ("tone_conflict_lag", '"date" DESC NULLS LAST, "country" ASC NULLS FIRST', 200),
+    "V14": ("diplomatic_network", '"total_interactions" DESC NULLS LAST, "source_country" ASC NULLS FIRST, "target_country" ASC NULLS FIRST', 50),
+    "V15": ("source_diversity_index", '"source_diversity_index" DESC NULLS LAST, "country" ASC NULLS FIRST, "date" ASC NULLS FIRST', 50),
+    "V16": ("ethnic_conflicts", '"event_count" DESC NULLS LAST, "ethnicity" ASC NULLS FIRST, "date" ASC NULLS FIRST', 30),
+    "V17": ("breaking_news", '"first_mention_time" DESC NULLS LAST, "GlobalEventID" ASC NULLS FIRST', 30),
+    "V18": ("extreme_tone_events", '"AvgTone" ASC NULLS FIRST, "GlobalEventID" ASC NULLS FIRST, "tone_extreme_type" ASC NULLS FIRST', 30),
+    "V19": ("top_article_coverage", '"total_articles" DESC NULLS LAST, "country" ASC NULLS FIRST', 50),
+}
 
 
 # Views whose panel is more than the first rows of the page: select list, filter or source, and row limit.
@@ -252,10 +273,9 @@ _FIRST = {"V05": 20, "V06": 15, "V08": 15, "V09": 10, "V11": 20, "V12": 15, "V13
 
 
 def _page(key: str) -> tuple[tuple[str, ...], str]:
-    view = VIEWS[key]
-    relations, body = RESULTS[view.result]
-    page = f"page AS (SELECT * FROM ({body}) ORDER BY {_order(view.sort)} LIMIT {view.limit})"
-    return (*relations, page), COLUMNS[view.result]
+    result, order, limit = PAGES[key]
+    relations, body = RESULTS[result]
+    return (*relations, f"page AS (SELECT * FROM ({body}) ORDER BY {order} LIMIT {limit})"), COLUMNS[result]
 
 
 def page_sql(key: str) -> str:
@@ -265,7 +285,7 @@ def page_sql(key: str) -> str:
 
 def panel_sql(key: str) -> str:
     relations, columns = _page(key)
-    order = _order(VIEWS[key].sort)
+    order = PAGES[key][1]
     if key == "V04":
         body = """SELECT coalesce(region, 'Other') AS region, CAST(sum(event_count) AS BIGINT) AS event_count
                   FROM page GROUP BY 1 ORDER BY event_count DESC, region LIMIT 8"""

@@ -24,7 +24,7 @@ def test_schema_sizes():
     assert {name: len(schema.names) for name, schema in RAW_SCHEMAS.items()} == {
         "events": 61, "mentions": 16, "gkg": 27,
     }
-    assert landed_schema("events").names[-3:] == ["ingest_ts", "ingest_date", "ingest_hour"]
+    assert landed_schema("events").names[-4:] == ["landing", "ingest_ts", "ingest_date", "ingest_hour"]
     with pytest.raises(ValueError):
         raw_schema("other")
 
@@ -109,24 +109,115 @@ def test_events_landed_before_are_known_as_long_as_they_are_kept(spark, tmp_path
     assert rows_of(landed.read_events(spark, out).where("GlobalEventID > 0"), "GlobalEventID") == [(1,), (2,)]
 
 
-@pytest.mark.parametrize("moved", ["nothing", "rows"])
-def test_landing_broken_off_is_brought_to_its_end(spark, tmp_path, now, moved, monkeypatch):
+@pytest.mark.parametrize("at", ["rows", "marks"])
+def test_landing_broken_off_is_done_anew(spark, tmp_path, now, at, monkeypatch):
     write_raw(tmp_path / "raw")
     out = str(tmp_path / "out")
     with monkeypatch.context() as patch:
-        move = landed._move_files
-
-        def broken(spark, source, target):
-            if moved == "rows" and source.endswith("rows"):
-                return move(spark, source, target)
+        def broken(*_):
             raise KeyboardInterrupt
 
-        patch.setattr(landed, "_move_files", broken)
+        patch.setattr(landed, "_show" if at == "marks" else "is_landed", broken)
         with pytest.raises(KeyboardInterrupt):
             landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    assert not (tmp_path / "out" / landed.LEASES / "events").exists()
+    landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    assert landed.read_events(spark, out).count() == 3
+    assert landed.read_mentions(spark, out).count() == landed.read_gkg(spark, out).count() == 1
+
+
+def test_a_writer_between_rows_and_marks_of_another(spark, tmp_path, now, monkeypatch):
+    """Each landing has a folder of its own, so a second one neither clears nor shows the first."""
+    out = str(tmp_path / "out")
+    marks = spark.createDataFrame([("one", now)], landed.MARKS)
+
+    def rows(name):
+        return landed.stamp(table(spark, "gkg", [{"GKGRECORDID": name}]), now)
+
+    show = landed._show
+
+    def second_first(spark_, pending, place):
+        monkeypatch.setattr(landed, "_show", show)
+        assert landed.land_once(rows("b"), marks, "gkg", out, "second")
+        assert rows_of(landed.read_gkg(spark, out), "GKGRECORDID") == [("b",)]
+        show(spark_, pending, place)
+
+    monkeypatch.setattr(landed, "_show", second_first)
+    assert landed.land_once(rows("a"), marks, "gkg", out, "first")
+    assert rows_of(landed.read_gkg(spark, out), "GKGRECORDID", "landing") == [("a", "first"), ("b", "second")]
+    assert landed.landed_marks(spark, out, "gkg").count() == 2
+    assert not landed.land_once(rows("c"), marks, "gkg", out, "first")
+    assert landed.read_gkg(spark, out).count() == 2
+
+
+def test_overlapping_cycles_land_a_file_once(spark, tmp_path, now, monkeypatch):
+    write_raw(tmp_path / "raw")
+    out = str(tmp_path / "out")
+    show, met = landed._show, []
+
+    def another_cycle(spark_, pending, place):
+        if not met:
+            met.append(place)
+            landed.ingest(spark, str(tmp_path / "raw"), out, now)
+        show(spark_, pending, place)
+
+    monkeypatch.setattr(landed, "_show", another_cycle)
     landed.ingest(spark, str(tmp_path / "raw"), out, now)
     assert landed.read_events(spark, out).count() == 3
     assert landed.read_mentions(spark, out).count() == landed.read_gkg(spark, out).count() == 1
+    with landed.cycle_lease(spark, out, "gkg", now), pytest.raises(landed.CycleRunning), landed.cycle_lease(spark, out, "gkg", now):
+        pass
+    monkeypatch.setattr(landed, "ABANDONED", timedelta(seconds=-5))
+    with landed.cycle_lease(spark, out, "gkg", now), landed.cycle_lease(spark, out, "gkg", now):
+        pass
+
+
+def test_refused_lines_are_kept_with_reason_and_file(spark, tmp_path, now):
+    write_raw(tmp_path / "raw")
+    bad = tmp_path / "raw" / "20240305130000.GKG.csv"
+    bad.write_text(line("gkg", GKGRECORDID="g2") + "\n\n" + line("gkg", GKGRECORDID="g3") + "\tmore\n" + "short\n")
+    out = str(tmp_path / "out")
+    landed.ingest(spark, str(tmp_path / "raw"), out, now)
+    refused = landed.rejects(spark, out, "gkg")
+    assert rows_of(refused, "line", "reason") == [("", "blank"), (line("gkg", GKGRECORDID="g3") + "\tmore", "too many fields")]
+    assert all(row["file"].endswith(bad.name) for row in refused.collect())
+    assert landed.rejects(spark, out, "events").count() == 0
+    log = spark.read.parquet(f"{out}/{landed.INGEST_LOG}").where("table = 'gkg'").first()
+    assert log["lines"] == landed.read_gkg(spark, out).count() + refused.count()
+
+
+def test_a_query_planned_before_files_expire_ends_after(spark, tmp_path, now):
+    out = str(tmp_path)
+    for hours in (0, 5):
+        landed.land(table(spark, "gkg", [{"GKGRECORDID": str(hours)}]), "gkg", out, now - timedelta(hours=hours))
+    planned = landed.read_gkg(spark, out)
+    planned._jdf.queryExecution().executedPlan()
+    assert landed.expire(spark, out, "gkg", now, hours=2, grace=timedelta(hours=1)) == 0
+    assert rows_of(landed.read_gkg(spark, out), "GKGRECORDID") == [("0",)]
+    assert planned.count() == 2
+    assert landed.expire(spark, out, "gkg", now + timedelta(minutes=61), hours=2, grace=timedelta(hours=1)) == 1
+    assert landed.read_gkg(spark, out).count() == 1
+
+
+def test_marks_outlive_their_rows_while_the_file_is_there(spark, tmp_path, now):
+    write_raw(tmp_path / "raw")
+    raw_dir, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    landed.ingest(spark, raw_dir, out, now)
+    for hours in (3, 4):
+        landed.ingest(spark, raw_dir, out, now + timedelta(hours=hours))
+        assert landed.read_events(spark, out).count() == 0
+        assert landed.landed_marks(spark, out, "events").count() == 1
+    assert not list((tmp_path / "out" / "events").glob("landing=*"))
+    assert len(list((tmp_path / "out" / landed.LEDGER / "events").glob("edition-*"))) == 1
+    (tmp_path / "raw" / "20240305120000.export.CSV").unlink()
+    (tmp_path / "raw" / "20240305180000.export.CSV").write_text(line("events", GlobalEventID="8") + "\n")
+    landed.ingest(spark, raw_dir, out, now + timedelta(hours=6))
+    landed.ingest(spark, raw_dir, out, now + timedelta(hours=9))
+    assert [row["path"][-15:] for row in landed.landed_marks(spark, out, "events").collect()] == ["0000.export.CSV"]
+    abandoned = tmp_path / "out" / "events" / landed.PENDING / "old"
+    abandoned.mkdir(parents=True)
+    landed.sweep(spark, raw_dir, out, "events", now + timedelta(days=9000))
+    assert not abandoned.exists()
 
 
 def test_archives_are_refused(spark, tmp_path, now):
@@ -159,8 +250,13 @@ def test_boundary_partition_keeps_its_recent_rows(spark, tmp_path, now):
     rows = table(spark, "gkg", [{"GKGRECORDID": "a"}])
     for minutes in (25, 5):
         landed.land(rows, "gkg", out, now - timedelta(minutes=minutes))
-    assert landed.expire(spark, out, "gkg", now + timedelta(minutes=50), hours=1) == 0
+    assert landed.expire(spark, out, "gkg", now + timedelta(minutes=50), hours=1) == 1
     assert landed.read_gkg(spark, out).count() == 1
+    # One landing with rows on both sides of the bound stays, its older rows are left out.
+    mixed = landed.stamp(rows, now - timedelta(minutes=9)).unionByName(landed.stamp(rows, now - timedelta(minutes=2)))
+    landed.land_once(mixed, None, "gkg", out)
+    assert landed.expire(spark, out, "gkg", now + timedelta(minutes=54), hours=1) == 0
+    assert landed.read_gkg(spark, out).count() == 2
 
 
 def test_since_prunes_partitions(spark, tmp_path, now):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 from datetime import datetime
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from tests.conftest import F, rows_of, table
 from wirepulse.operators import conflict, media
@@ -52,6 +54,32 @@ def test_ingest_without_salting(spark, tmp_path):
     assert landed.read_events(spark, str(tmp_path / "out")).count() == 3
 
 
+def test_a_new_checkpoint_at_the_old_place_lands_on(spark, tmp_path):
+    drop(tmp_path / "raw", "1.export.CSV", event_line(1))
+    ingest_once(spark, tmp_path)
+    shutil.move(tmp_path / "ck", tmp_path / "gone")
+    drop(tmp_path / "raw", "2.export.CSV", event_line(2))
+    ingest_once(spark, tmp_path)
+    # The new stream begins at the beginning, and none of its batches counts as landed.
+    assert rows_of(landed.read_events(spark, str(tmp_path / "out")), "GlobalEventID") == [(1,), (1,), (2,)]
+
+
+def test_a_batch_landed_before_is_not_landed_again(spark, tmp_path, monkeypatch):
+    from wirepulse.streaming import ingest as module
+
+    def fails(*_):
+        raise RuntimeError("lost after landing")
+
+    drop(tmp_path / "raw", "1.export.CSV", event_line(1))
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "expire", fails)
+        with pytest.raises(StreamingQueryException):
+            ingest_once(spark, tmp_path, retention_hours=1)
+    assert landed.read_events(spark, str(tmp_path / "out")).count() == 1
+    ingest_once(spark, tmp_path, retention_hours=1)
+    assert landed.read_events(spark, str(tmp_path / "out")).count() == 1
+
+
 def test_old_event_dates_are_not_late(spark, tmp_path):
     drop(tmp_path / "raw", "1.export.CSV", event_line(1, "20240101"))
     ingest_once(spark, tmp_path)

@@ -79,11 +79,14 @@ RAW_SCHEMAS: dict[str, StructType] = {
 # The landing partition columns carry their own names: a partition column called like a
 # data column ("day" against "Day") would silently replace the file's values.
 INGEST_FIELDS = (
+    StructField("landing", StringType(), True),
     StructField("ingest_ts", TimestampType(), True),
     StructField("ingest_date", DateType(), True),
     StructField("ingest_hour", IntegerType(), True),
 )
 PARTITION_COLUMNS = ("ingest_date", "ingest_hour")
+#: The outermost partition: the landing that wrote the rows.
+LANDING = "landing"
 
 
 def raw_schema(table: str) -> StructType:
@@ -95,5 +98,5 @@ def raw_schema(table: str) -> StructType:
 
 
 def landed_schema(table: str) -> StructType:
-    """Raw columns followed by the ingest timestamp and the partition columns."""
+    """Raw columns followed by the landing, the ingest timestamp and the partition columns."""
     return StructType([*raw_schema(table).fields, *INGEST_FIELDS])

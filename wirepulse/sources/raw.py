@@ -101,6 +101,19 @@ def coerced(text: Column, kind: DataType) -> Column:
     return F.coalesce(text.try_cast(kind), whole)
 
 
+REJECT_COLUMNS = "file string, line string, reason string"
+
+
+def rejected_lines(lines: DataFrame, table: str) -> DataFrame:
+    """``file, line, reason`` of the lines that ``parse_lines`` leaves out; read them from files."""
+    width = len(raw_schema(table).names)
+    reason = F.when(F.col("value") == "", "blank").when(F.size(F.split("value", "\t", -1)) > width, "too many fields")
+    return (
+        lines.select(F.input_file_name().alias("file"), F.col("value").alias("line"), reason.alias("reason"))
+        .where("reason IS NOT NULL")
+    )
+
+
 def split_fields(lines: DataFrame, table: str) -> DataFrame:
     """Raw lines as named string columns with null tokens removed."""
     names = raw_schema(table).names

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from wirepulse.sources.landed import MARKS, expire, finish_landing, land_once, landed_marks
+from wirepulse.sources.landed import MARKS, expire, is_landed, land_once
 from wirepulse.sources.raw import parse_lines, raw_files, refuse_archives, stream_lines
 
 CYCLE = "15 minutes"
@@ -20,6 +21,12 @@ def start(writer, once: bool, cycle: str = CYCLE) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a running stream keeps in its checkpoint, and a new one does not share."""
+    text = "".join(row["value"] for row in spark.read.text(f"{checkpoint}/metadata").collect())
+    return json.loads(text)["id"].replace("-", "")
+
+
 def stamped_stream(rows: DataFrame) -> DataFrame:
     """Add ingest time and its UTC partition columns."""
     seconds = F.unix_seconds("ingest_ts")
@@ -67,17 +74,22 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Parse new raw files into a landed table; events are de-duplicated on the way.
 
-    Batches land as the batch cycle's files do, each once: the ledger knows a batch by its
-    checkpoint and number. So batch and stream may write the same table, and ``expire``
-    serves both; ``retention_hours`` expires the table after each batch. ``within`` bounds
-    how long a repeated event id is remembered.
+    Batches land as the batch cycle's files do, each once: a landing is named after the
+    stream's own id, which a new checkpoint changes, and the batch's number. So batch and
+    stream may write the same table at the same time, and ``expire`` serves both;
+    ``retention_hours`` expires the table after each batch. ``within`` bounds how long a
+    repeated event id is remembered.
     """
+    place = f"{checkpoint_dir}/ingest_{table}"
+
     def land(batch: DataFrame, number: int) -> None:
-        mark = f"{checkpoint_dir}/ingest_{table}#{number}"
-        finish_landing(spark, out_dir, table)
-        if landed_marks(spark, out_dir, table).where(F.col("path") == mark).isEmpty():
+        landing = f"s{stream_id(spark, place)}-{number}"
+        if is_landed(spark, table, out_dir, landing):
+            # What the de-duplication remembers is kept only of a batch that was run.
+            batch.write.format("noop").mode("overwrite").save()
+        else:
             now = datetime.now(timezone.utc)
-            land_once(batch, spark.createDataFrame([(mark, now)], MARKS), table, out_dir)
+            land_once(batch, spark.createDataFrame([(landing, now)], MARKS), table, out_dir, landing)
             if retention_hours:
                 expire(spark, out_dir, table, now, retention_hours)
 
@@ -88,7 +100,7 @@ def ingest_stream(
         rows = deduplicated(rows, within, salts)
     writer = (
         rows.writeStream.foreachBatch(land)
-        .option("checkpointLocation", f"{checkpoint_dir}/ingest_{table}")
+        .option("checkpointLocation", place)
         .queryName(f"ingest_{table}")
     )
     return start(writer, once)
