@@ -17,7 +17,7 @@ from wirepulse.plans.results import read_result, read_results
 from wirepulse.schema import landed_schema
 from wirepulse.session import scratch_path
 from wirepulse.sources import landed, raw
-from wirepulse.streaming import detectors, refresh
+from wirepulse.streaming import detectors, refresh, sums
 from wirepulse.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +211,56 @@ def refresh_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(read_result(spark, f"{work}/out", "conflict_heatmap"))
 
 
+def merged(result: str) -> Query:
+    """A result after three batches merged into stored sums, the last of them twice.
+
+    The batches cut every day, so each brings late rows to the days of the one before.
+    """
+    parts = {
+        "events": F.col("GlobalEventID"), "gkg": F.xxhash64("GKGRECORDID"),
+        "mentions": F.xxhash64("GlobalEventID", "MentionTimeDate", "MentionSourceName"),
+    }
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        work = scratch_path(spark, f"merged-{result}")
+        store = sums.Store(spark, f"{work}/sums")
+        for number in (1, 2, 3, 3):
+            tables = {
+                name: sample_tables.landed_table(spark, sf_dir, name).where(F.pmod(part, F.lit(3)) == number - 1)
+                for name, part in parts.items()
+            }
+            sums.merge_batch(tables, number, store, f"{work}/out", [result])
+        return present(read_result(spark, f"{work}/out", result))
+
+    return run
+
+
+def _merged_sql(result: str) -> str:
+    if result in ("cameo_distribution", "religion_conflict_cluster"):
+        relations, body = oracle.RESULTS[result]
+        plain = tuple(r.replace("coalesce(r.r_name, 'Other') AS region", "'Other' AS region") for r in relations)
+        return oracle.query(plain, body, oracle.COLUMNS[result])
+    return oracle.result_sql(result)
+
+
+def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources per country and date, kept current by one stream of landed events and mentions beside older rows."""
+    work = scratch_path(spark, "merged-stream")
+    tables = sample_tables.tables(spark, sf_dir)
+    cut = {"events": F.col("GlobalEventID") % 4 == 0, "mentions": F.col("MentionTimeDate") < "20240101040000"}
+    for name, old in cut.items():
+        for number, rows in enumerate((tables[name].where(~old & (F.xxhash64("*") % 2 == 0)), tables[name].where(~old & (F.xxhash64("*") % 2 != 0)))):
+            landed.land_once(rows.drop("landing"), None, name, f"{work}/store", f"part{number}")
+    arrivals = {
+        name: spark.readStream.schema(landed_schema(name)).option("maxFilesPerTrigger", 2).parquet(f"{work}/store/{name}") for name in cut
+    }
+    sums.merge_results_stream(
+        arrivals, f"{work}/out", f"{work}/ck", ["source_diversity_index"], once=True,
+        history=lambda: {name: tables[name].where(old) for name, old in cut.items()},
+    ).awaitTermination()
+    return present(read_result(spark, f"{work}/out", "source_diversity_index"))
+
+
 def stream_then_batch_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some events landed by the stream, the others by a batch, in one table that expires as one."""
     work = scratch_path(spark, "stream-then-batch")
@@ -312,5 +362,8 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
         lambda spark, sf_dir: present(landing.heatmap_of_shared_input(spark, sf_dir)), oracle.result_sql("conflict_heatmap"),
     )
     out |= landing.twins()
+    for analysis in ANALYSES.values():
+        out[f"merged_{analysis.key.lower()}_{analysis.result}"] = (merged(analysis.result), _merged_sql(analysis.result))
+    out["merged_stream_of_two_tables"] = (merged_stream, oracle.result_sql("source_diversity_index"))
     out["streamed_refresh_heatmap"] = (refreshed_heatmap, oracle.result_sql("conflict_heatmap"))
     return out

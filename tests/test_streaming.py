@@ -257,7 +257,7 @@ def test_refresh_removes_days_that_became_empty(spark, tmp_path):
     from wirepulse.plans import results
 
     rows = spark.createDataFrame([("a", 20240101), ("b", 20240102), ("c", None)], "x string, date int")
-    results.write_result(rows, "r", str(tmp_path), by_day=True)
+    results.write_result(rows, "r", str(tmp_path), by="date")
     days = spark.createDataFrame([(20240102,), (None,)], "_day int")
     results.write_days(rows.where("x = 'z'"), "r", str(tmp_path), days)
     back = results.read_result(spark, str(tmp_path), "r")

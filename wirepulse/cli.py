@@ -80,13 +80,10 @@ def _stream_breaking(spark, args) -> list:
 
 
 def _stream_refresh(spark, args) -> list:
-    from wirepulse.sources.landed import read_events
-    from wirepulse.streaming.refresh import refresh_results_stream
+    from wirepulse.streaming.sums import merge_results_stream
 
-    return [refresh_results_stream(
-        lambda: read_events(spark, args.table_dir), _landed_stream(spark, args, "events"),
-        args.out_dir, args.checkpoint_dir, once=args.once,
-    )]
+    arrivals = {table: _landed_stream(spark, args, table) for table in RAW_SCHEMAS}
+    return [merge_results_stream(arrivals, args.out_dir, args.checkpoint_dir, once=args.once)]
 
 
 STREAMS = {

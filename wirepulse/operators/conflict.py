@@ -121,12 +121,11 @@ def network_from(rollup: DataFrame) -> DataFrame:
     )
 
 
-def ethnic_conflicts(events: DataFrame, *, conflict_quad: int = 3, weighted: bool = False) -> DataFrame:
-    """Conflict events per ethnic group and event date, over both actor roles.
+def ethnic_sums(events: DataFrame, *, conflict_quad: int = 3) -> DataFrame:
+    """Conflict events per ethnic group and event date, with the scores' sums of either actor role.
 
-    An event that names a group in both roles counts twice. The mean is the plain mean of
-    the two roles' means; ``weighted`` averages over the events instead. One scan unpivots
-    the roles, where a union of two branches would read the events twice.
+    An event that names a group in both roles counts twice. One scan unpivots the roles,
+    where a union of two branches would read the events twice.
     """
     roles = F.array(*[
         F.struct(F.lit(role).alias("role"), F.col(f"Actor{role}EthnicCode").alias("ethnicity"))
@@ -138,14 +137,27 @@ def ethnic_conflicts(events: DataFrame, *, conflict_quad: int = 3, weighted: boo
         .select("GlobalEventID", "GoldsteinScale", F.col("Day").alias("date"), F.inline(roles))
         .where(filled("ethnicity"))
     )
-    grouped = named.groupBy("ethnicity", "date")
-    if weighted:
-        return grouped.agg(
-            F.count("GlobalEventID").alias("event_count"),
-            F.avg("GoldsteinScale").alias("avg_goldstein"),
-        )
-    first, second = (F.avg(F.when(F.col("role") == role, F.col("GoldsteinScale"))) for role in (1, 2))
-    return grouped.agg(
+    scores = {role: F.when(F.col("role") == role, F.col("GoldsteinScale")) for role in (1, 2)}
+    return named.groupBy("ethnicity", "date").agg(
         F.count("GlobalEventID").alias("event_count"),
-        F.coalesce((first + second) / 2, first, second).alias("avg_goldstein"),
+        *(of(score).alias(f"{name}_{role}") for role, score in scores.items() for name, of in (("sum", F.sum), ("n", F.count))),
     )
+
+
+def ethnic_from(sums: DataFrame, *, weighted: bool = False) -> DataFrame:
+    if weighted:
+        total = F.coalesce(F.col("sum_1") + F.col("sum_2"), "sum_1", "sum_2")
+        mean = F.try_divide(total, F.col("n_1") + F.col("n_2"))
+    else:
+        first, second = (F.try_divide(f"sum_{role}", f"n_{role}") for role in (1, 2))
+        mean = F.coalesce((first + second) / 2, first, second)
+    return sums.select("ethnicity", "date", "event_count", mean.alias("avg_goldstein"))
+
+
+def ethnic_conflicts(events: DataFrame, *, conflict_quad: int = 3, weighted: bool = False) -> DataFrame:
+    """Conflict events per ethnic group and event date, over both actor roles.
+
+    The mean is the plain mean of the two roles' means; ``weighted`` averages over the
+    events instead.
+    """
+    return ethnic_from(ethnic_sums(events, conflict_quad=conflict_quad), weighted=weighted)

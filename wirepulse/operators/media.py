@@ -35,9 +35,9 @@ def coverage_from(rollup: DataFrame) -> DataFrame:
     )
 
 
-def top_organizations(gkg: DataFrame, *, k: int = 20) -> DataFrame:
-    """Most mentioned organisations per publication date; ties share a rank."""
-    counted = (
+def organization_counts(gkg: DataFrame) -> DataFrame:
+    """Entries per organisation and publication date."""
+    return (
         gkg.where(filled("Organizations"))
         .select(
             F.substring("DATE", 1, 8).alias("date"),
@@ -48,28 +48,36 @@ def top_organizations(gkg: DataFrame, *, k: int = 20) -> DataFrame:
         .groupBy("organization", "date")
         .agg(F.count(F.lit(1)).alias("mention_count"))
     )
-    return keep_top_ranked(counted, ["date"], "mention_count", k)
 
 
-def source_diversity_index(mentions: DataFrame, events: DataFrame, *, approx: bool = False) -> DataFrame:
-    """Distinct sources that mention a country's events, per event date.
+def organizations_from(counts: DataFrame, *, k: int = 20) -> DataFrame:
+    return keep_top_ranked(counts, ["date"], "mention_count", k)
 
-    Mentions are counted per event and source before the join. A story that draws a third
-    of all mentions then enters the join with one row per source, not one per mention.
-    """
-    per_source = (
+
+def top_organizations(gkg: DataFrame, *, k: int = 20) -> DataFrame:
+    """Most mentioned organisations per publication date; ties share a rank."""
+    return organizations_from(organization_counts(gkg), k=k)
+
+
+def source_counts(mentions: DataFrame) -> DataFrame:
+    """Mentions per event and source."""
+    return (
         mentions.where(F.col("MentionSourceName").isNotNull())
         .groupBy("GlobalEventID", "MentionSourceName")
         .agg(F.count(F.lit(1)).alias("mentions"))
     )
-    places = events.where(F.col("ActionGeo_CountryCode").isNotNull()).select(
-        "GlobalEventID",
-        F.col("ActionGeo_CountryCode").alias("country"),
-        F.col("Day").alias("date"),
+
+
+def event_places(events: DataFrame) -> DataFrame:
+    return events.select(
+        "GlobalEventID", F.col("ActionGeo_CountryCode").alias("country"), F.col("Day").alias("date"),
     )
+
+
+def diversity_from(per_source: DataFrame, places: DataFrame, *, approx: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approx else F.count_distinct
     return (
-        per_source.join(places, "GlobalEventID")
+        per_source.join(places.where("country IS NOT NULL"), "GlobalEventID")
         .groupBy("country", "date")
         .agg(
             distinct(F.col("MentionSourceName")).alias("unique_sources"),
@@ -79,20 +87,27 @@ def source_diversity_index(mentions: DataFrame, events: DataFrame, *, approx: bo
     )
 
 
-def first_hour_bursts(mentions: DataFrame, *, threshold: int = 100, horizon: str = "1 hour") -> DataFrame:
-    """Events with at least ``threshold`` mentions up to ``horizon`` after their first one.
+def source_diversity_index(mentions: DataFrame, events: DataFrame, *, approx: bool = False) -> DataFrame:
+    """Distinct sources that mention a country's events, per event date.
 
-    Mentions are counted per event and time stamp before the window looks for the first
-    one, so a key has at most one row per second whatever its number of mentions. Stamps
-    that are no time compare as null and drop out.
+    Mentions are counted per event and source before the join. A story that draws a third
+    of all mentions then enters the join with one row per source, not one per mention.
     """
-    ticks = (
+    return diversity_from(source_counts(mentions), event_places(events), approx=approx)
+
+
+def tick_counts(mentions: DataFrame) -> DataFrame:
+    """Mentions per event and time stamp. Stamps that are no time drop out."""
+    return (
         mentions.where(F.col("GlobalEventID").isNotNull())
         .groupBy("GlobalEventID", stamp_number("MentionTimeDate").alias("stamp"))
         .agg(F.count(F.lit(1)).alias("mentions"))
         .select("GlobalEventID", wall_clock(F.col("stamp")).alias("at"), "mentions")
         .where(F.col("at").isNotNull())
     )
+
+
+def bursts_from(ticks: DataFrame, *, threshold: int = 100, horizon: str = "1 hour") -> DataFrame:
     first = F.min("at").over(Window.partitionBy("GlobalEventID"))
     return (
         ticks.withColumn("first_mention_time", first)
@@ -103,6 +118,15 @@ def first_hour_bursts(mentions: DataFrame, *, threshold: int = 100, horizon: str
     )
 
 
+def first_hour_bursts(mentions: DataFrame, *, threshold: int = 100, horizon: str = "1 hour") -> DataFrame:
+    """Events with at least ``threshold`` mentions up to ``horizon`` after their first one.
+
+    Mentions are counted per event and time stamp before the window looks for the first
+    one, so a key has at most one row per second whatever its number of mentions.
+    """
+    return bursts_from(tick_counts(mentions), threshold=threshold, horizon=horizon)
+
+
 def breaking_news(
     mentions: DataFrame,
     events: DataFrame,
@@ -119,12 +143,11 @@ def breaking_news(
 
 
 def locate_bursts(bursts: DataFrame, events: DataFrame) -> DataFrame:
+    return locate_from(bursts, event_places(events))
+
+
+def locate_from(bursts: DataFrame, places: DataFrame) -> DataFrame:
     """Only events that burst enter the outer join; the others fall to a semi-join first."""
-    places = events.select(
-        "GlobalEventID",
-        F.col("ActionGeo_CountryCode").alias("country"),
-        F.col("Day").alias("date"),
-    )
     burst_places = places.join(bursts.select("GlobalEventID"), "GlobalEventID", "left_semi")
     return bursts.join(burst_places, "GlobalEventID", "left").select(
         "GlobalEventID",

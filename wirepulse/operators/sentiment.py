@@ -71,13 +71,13 @@ def lag_from(rollup: DataFrame) -> DataFrame:
     )
 
 
-def gkg_themes_continent(gkg: DataFrame, *, k: int = 10, continents: DataFrame | None = None) -> DataFrame:
-    """Most frequent themes per continent and year; ties share a rank.
+def theme_counts(gkg: DataFrame) -> DataFrame:
+    """Entries per theme, country code and year.
 
     A document's country is the first two-letter code between hash marks in its location
     list; a theme entry is cut at its first hash mark or comma.
     """
-    themes = (
+    return (
         gkg.where(filled("V2Themes"))
         .select(
             F.substring("DATE", 1, 4).alias("year"),
@@ -86,21 +86,36 @@ def gkg_themes_continent(gkg: DataFrame, *, k: int = 10, continents: DataFrame |
         )
         .select("year", "country_code", first_item(first_item(F.col("entry"), "#"), ",").alias("theme"))
         .where("theme != ''")
+        .groupBy("theme", "country_code", "year")
+        .agg(F.count(F.lit(1)).alias("mention_count"))
     )
+
+
+def themes_from(counts: DataFrame, *, k: int = 10, continents: DataFrame | None = None) -> DataFrame:
+    """The continent depends on the code alone, so it is joined to counts, not to entries."""
     counted = (
-        with_label(themes, "country_code", "continent", CONTINENTS, continents, missing="Unknown")
+        with_label(counts, "country_code", "continent", CONTINENTS, continents, missing="Unknown")
         .groupBy("theme", "continent", "year")
-        .agg(F.count(F.lit(1)).alias("mention_count"))
+        .agg(F.sum("mention_count").alias("mention_count"))
     )
     return keep_top_ranked(counted, ["continent", "year"], "mention_count", k)
 
 
+def gkg_themes_continent(gkg: DataFrame, *, k: int = 10, continents: DataFrame | None = None) -> DataFrame:
+    """Most frequent themes per continent and year; ties share a rank."""
+    return themes_from(theme_counts(gkg), k=k, continents=continents)
+
+
 def extreme_tone_events(events: DataFrame, *, n: int = 15) -> DataFrame:
     """The ``n`` most hostile and ``n`` most favourable events; event id breaks ties.
 
     Each side is a top-n that keeps ``n`` rows per task before the final merge.
     """
-    toned = located(events).where(F.col("AvgTone").isNotNull()).select(
+    return extremes_from(toned_events(events), n=n)
+
+
+def toned_events(events: DataFrame) -> DataFrame:
+    return located(events).where(F.col("AvgTone").isNotNull()).select(
         "GlobalEventID",
         F.col("ActionGeo_CountryCode").alias("country"),
         "ActionGeo_FullName",
@@ -111,6 +126,10 @@ def extreme_tone_events(events: DataFrame, *, n: int = 15) -> DataFrame:
         "Day",
     )
 
+
+def extremes_from(toned: DataFrame, *, n: int = 15) -> DataFrame:
+    """Of both ends of the tone; the ends of several parts hold the ends of all of them."""
+
     def side(direction, label: str) -> DataFrame:
         ranked = toned.orderBy(direction("AvgTone"), F.asc("GlobalEventID")).limit(n)
         return ranked.withColumn("tone_extreme_type", F.lit(label))

@@ -82,8 +82,7 @@ def run_analyses(
         try:
             frame = result_frame(analysis, read, rollups, folder)
             order = analysis.order if ordered else ()
-            by_day = analysis.day_of is not None
-            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options, by_day=by_day)
+            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options, by=analysis.by)
         except Exception as error:  # noqa: BLE001  (reported below, with the run logged)
             return error
         return None

@@ -18,7 +18,8 @@ class Analysis:
 
     ``from_rollup`` derives the same result from a shared rollup. ``day_of`` names the day
     column of an analysis whose rows for one day depend on that day's events alone:
-    ``published`` or ``event``. ``first`` is a part that a run writes before it plans the
+    ``published`` or ``event``. ``by`` is the column by which files of the result are kept
+    apart, so that a part of it can be replaced. ``first`` is a part that a run writes before it plans the
     rest, ``from_first``.
     """
 
@@ -31,9 +32,14 @@ class Analysis:
     rollup: str | None = None
     from_rollup: Callable[[DataFrame], DataFrame] | None = None
     day_of: str | None = None
+    by: str | None = None
     first: Callable[[dict[str, DataFrame]], DataFrame] | None = None
     from_first: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = None
 
+    def __post_init__(self) -> None:
+        if self.day_of and not self.by:
+            object.__setattr__(self, "by", "date")
+
     def run(self, tables: dict[str, DataFrame]) -> DataFrame:
         return self.build(*[tables[name] for name in self.inputs])
 
@@ -56,7 +62,7 @@ ANALYSES: dict[str, Analysis] = {
         Analysis("A06", "media_coverage_ratio", "media", _EVENTS, media.media_coverage_ratio,
                  ("-mentions_per_event",), "country_event_day", media.coverage_from, "event"),
         Analysis("A07", "sentiment_trend", "sentiment", _EVENTS, sentiment.sentiment_trend,
-                 ("country", "date"), "country_day", sentiment.trend_from),
+                 ("country", "date"), "country_day", sentiment.trend_from, by="date"),
         Analysis("A08", "conflict_pairs", "conflicts", _EVENTS, conflict.conflict_pairs,
                  ("-conflict_count",), "country_pair_day", conflict.pairs_from, "event"),
         Analysis("A09", "escalation_events", "conflicts", ("mentions",), conflict.escalation_events,
@@ -64,11 +70,11 @@ ANALYSES: dict[str, Analysis] = {
         Analysis("A10", "religion_conflict_cluster", "sentiment", _EVENTS, actors.religion_conflict_cluster,
                  ("-event_count",), day_of="published"),
         Analysis("A11", "gkg_themes_continent", "sentiment", ("gkg",), sentiment.gkg_themes_continent,
-                 ("continent", "year", "rank")),
+                 ("continent", "year", "rank"), by="year"),
         Analysis("A12", "top_organizations", "media", ("gkg",), media.top_organizations,
-                 ("date", "rank")),
+                 ("date", "rank"), by="date"),
         Analysis("A13", "tone_conflict_lag", "sentiment", _EVENTS, sentiment.tone_conflict_lag,
-                 ("country", "date"), "country_day", sentiment.lag_from),
+                 ("country", "date"), "country_day", sentiment.lag_from, by="date"),
         Analysis("A14", "diplomatic_network", "conflicts", _EVENTS, conflict.diplomatic_network,
                  ("-total_interactions",), "country_pair_day", conflict.network_from),
         Analysis("A15", "source_diversity_index", "media", ("mentions", "events"), media.source_diversity_index,

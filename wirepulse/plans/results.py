@@ -38,11 +38,11 @@ def write_result(
     fmt: str = "parquet",
     sort: Sequence[str] = (),
     options: dict[str, str] | None = None,
-    by_day: bool = False,
+    by: str | None = None,
 ) -> None:
     """Write one result set below ``path``.
 
-    ``by_day`` partitions files by ``date``, the layout in which single days are replaced.
+    ``by`` partitions files by that column, the layout in which single days are replaced.
 
     For a format that is no file format (a document-store connector, say) ``path`` is not
     used: the connector gets ``name`` as its ``collection`` option, and ``options``.
@@ -51,7 +51,7 @@ def write_result(
     writer = out.write.mode(mode).format(fmt).options(**(options or {}))
     if fmt in _FILE_FORMATS:
         _note_schema(df, name, path)
-        (writer.partitionBy("date") if by_day else writer).save(f"{path}/{name}")
+        (writer.partitionBy(by) if by else writer).save(f"{path}/{name}")
     else:
         writer.option("collection", name).save()
 
@@ -61,8 +61,8 @@ def _note_schema(df: DataFrame, name: str, path: str) -> None:
     df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SCHEMAS}/{name}")
 
 
-def write_days(df: DataFrame, name: str, path: str, days: DataFrame | None = None) -> None:
-    """Replace only the days that ``df`` holds, in a result set partitioned by ``date``.
+def write_days(df: DataFrame, name: str, path: str, days: DataFrame | None = None, by: str = "date") -> None:
+    """Replace only the days that ``df`` holds, in a result set partitioned by ``by``.
 
     Of the recomputed ``days`` (column ``_day``) those without rows are removed. ``df`` is
     read twice then, so hand over a written table.
@@ -70,19 +70,19 @@ def write_days(df: DataFrame, name: str, path: str, days: DataFrame | None = Non
     spark = df.sparkSession
     _note_schema(df, name, path)
     (
-        df.hint("rebalance", "date").write.mode("overwrite")
+        df.hint("rebalance", by).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date")
+        .partitionBy(by)
         .parquet(f"{path}/{name}")
     )
     if days is None:
         return
-    held = df.select(F.col("date").cast("string").alias("_held")).distinct()
+    held = df.select(F.col(by).cast("string").alias("_held")).distinct()
     gone = days.select(F.col("_day").cast("string").alias("_day")).join(held, F.col("_day").eqNullSafe(F.col("_held")), "left_anti")
     names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     for row in gone.toLocalIterator():
         folder = names.DEFAULT_PARTITION_NAME() if row["_day"] is None else names.escapePathName(row["_day"])
-        files, target = file_system(spark, f"{path}/{name}/date={folder}")
+        files, target = file_system(spark, f"{path}/{name}/{by}={folder}")
         files.delete(target, True)
 
 
