@@ -20,16 +20,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirepulse.llm import range_coder
-from wirepulse.llm.text import arrow_schema
+from wirepulse.llm.text import arrow_schema, slices
 from wirepulse.session import scratch_path
 
 END = 0
 SPECIAL = "<|endoftext|>"
 
-#: Ids in a block; a longer document makes a longer block.
-BLOCK_IDS = 1 << 21
+#: A block is complete from so many ids on; texts are encoded in slices of so many bytes.
+BLOCK_IDS = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct pieces of text in one generation of a worker's memory; it keeps two.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: A last one of these is a token of its own after a letter.
 MARKS = ".,;:!?"
 #: Atoms that the library encodes as one text.
@@ -224,27 +225,26 @@ def encoder(path: str) -> Encoder:
 def _blocks(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
     schema = arrow_schema(TABLE)
-    ids: list = []
-    held: list[bytes] = []
+    names: list[pa.Array] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def block() -> pa.RecordBatch:
-        data = range_coder.encode(np.frombuffer(b"".join(held), "<u4"))
-        row = [[part], [number], [ids], [[len(one) // 4 for one in held]], [size // 4], [data]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+        data = range_coder.encode(np.concatenate([flat for flat, _ in held]))
+        lengths = pa.array(np.concatenate([sizes for _, sizes in held]))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), one) for one in (pa.concat_arrays(names), lengths)]
+        columns = [pa.array([part]), pa.array([number]), *lists, pa.array([size]), pa.array([data], pa.binary())]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    end = np.array([END], "<u4").tobytes()
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        for at in range(0, batch.num_rows, 500):
-            texts = [text or "" for text in batch.column(1).slice(at, 500).to_pylist()]
-            for name, coded in zip(names[at:at + 500], encode(texts), strict=True):
-                ids.append(name)
-                held.append(coded + end)
-                size += len(held[-1])
-                if size >= 4 * BLOCK_IDS:
-                    yield block()
-                    ids, held, size, number = [], [], 0, number + 1
+        for a, b in slices(batch.column(1), SLICE_BYTES):
+            flat, sizes = encode.ids(batch.column(1).slice(a, b - a))
+            held.append((np.insert(flat, np.cumsum(sizes), END), sizes + 1))
+            names.append(batch.column(0).slice(a, b - a))
+            size += len(held[-1][0])
+            if size >= BLOCK_IDS:
+                yield block()
+                names, held, size, number = [], [], 0, number + 1
     if held:
         yield block()
 
