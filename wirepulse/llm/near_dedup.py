@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirepulse.llm.components import components
-from wirepulse.llm.open_pairs import open_pairs
+from wirepulse.llm.open_groups import open_links
 from wirepulse.llm.text import map_texts, utf8
 from wirepulse.session import materialise, scratch_path
 
@@ -26,12 +26,12 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Slots whose last four bits must agree before texts are compared: expected 78 at 0.8,
-#: and fewer than 60 about five times in a million.
-AGREEING = 60
+#: and fewer than 57 about twice in ten millions.
+AGREEING = 57
 
 #: Members of each bucket that all its other members are tested against first.
-LEADERS = 4
-#: Of larger buckets, only pairs that pass the prefix filter are tested in the end.
+LEADERS = 2
+#: Larger buckets are compared in tiles in the end.
 SMALL_BUCKET = 8
 
 SIGNATURES = "doc_id long, key binary, bands array<long>, planes array<long>"
@@ -230,19 +230,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b"))
 
 
-def _large_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: pairs of the ``key, root`` of larger buckets that the prefix filter leaves.
-
-    The filter works on running numbers, which are smaller than the keys.
-    """
-    spark = texts.sparkSession
-    numbered = materialise(members.withColumn("no", F.monotonically_increasing_id()), scratch_path(spark, "near-numbers"))
-    roots = numbered.groupBy(F.col("root").alias("_root")).agg(F.min("no").alias("_low"))
-    placed = numbered.join(roots, F.col("root") == F.col("_root")).select("key", "no", F.col("_low").alias("root"))
-    held = materialise(placed.join(texts, "key").select("no", "root", "text"), scratch_path(spark, "near-large"))
-    a, b = (numbered.select(F.col("key").alias(f"key_{k}"), F.col("no").alias(k)) for k in "ab")
-    pairs = open_pairs(held, shingles, SIMILAR).join(a, "a").join(b, "b")
-    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+def _similar(one: bytes, other: bytes) -> bool:
+    shared, union = overlap(bag(one), bag(other))
+    return union > 0 and SIMILAR[1] * shared >= SIMILAR[0] * union
 
 
 def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -251,9 +241,9 @@ def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     Texts sharing a band value form a bucket. First each bucket tests its members against a
     few of them, so a group of copies costs a few tests per member. Buckets that still hold
     several components then test all pairs that are not in one component: small buckets each
-    pair, the texts of larger ones the pairs that an exact prefix filter leaves. Links
-    are lost only by banding and the sketch filter, some 8 in a million pairs at exactly 0.8;
-    what else is skipped is not similar, or could only join what is joined.
+    pair, larger ones inside tasks that get two tiles of their texts. Links are lost only by
+    banding and the sketch filter, some 4 in a million pairs at exactly 0.8; what else is
+    skipped is not similar, or could only join what is joined.
     """
     spark = docs.sparkSession
 
@@ -289,9 +279,10 @@ def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     small = opened.where(F.col("n") <= SMALL_BUCKET)
     other = small.select("value", F.col("key").alias("first"), F.col("root").alias("first_root"))
     pairs = _ordered(small.join(other, "value").where("root <> first_root AND key < first"))
-    large = opened.where(F.col("n") > SMALL_BUCKET).select("key", "root").distinct()
-    pairs = pairs.unionByName(_large_pairs(large, texts)).distinct().join(tested, ["a", "b"], "left_anti")
-    more = keep(_links(keep(pairs, "near-pairs"), nodes, texts), "near-links")
+    pairs = keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    large = opened.where(F.col("n") > SMALL_BUCKET).select("value", "key", "root")
+    found = open_links(large, nodes, texts, shingles, _similar, SIMILAR, SLOTS, AGREEING)
+    more = keep(_links(pairs, nodes, texts).unionByName(found), "near-links")
     if not more.isEmpty():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = keep(components(joined), "near-roots")
