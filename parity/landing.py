@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from parity import oracle, sample_tables
 from wirepulse.operators import actors, conflict
 from wirepulse.plans.batch import run_analyses
 from wirepulse.plans.registry import SHARED_COLUMNS
-from wirepulse.plans.results import run_log
+from wirepulse.plans.results import read_result, run_log
 from wirepulse.session import file_system, scratch_path
 from wirepulse.sources import landed, raw
 from wirepulse.streaming.ingest import ingest_stream
@@ -135,6 +136,34 @@ LOGGED_SQL = """SELECT 'conflicts' AS analyses, 'success' AS status, NULL::VARCH
     UNION ALL SELECT 'conflicts', 'failed', 'escalation_events', true"""
 
 
+RESUMED = ("conflict_heatmap", "conflict_pairs", "escalation_events", "diplomatic_network", "ethnic_conflicts")
+
+
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that fails in one analysis, resumed: what each start wrote, and the sizes of the results."""
+    out = scratch_path(spark, "resumed-run")
+    tables = sample_tables.tables(spark, sf_dir)
+    try:
+        run_analyses(spark, tables | {"mentions": tables["mentions"].drop("GlobalEventID")}, out, "conflicts", run_id="night")
+    except RuntimeError:
+        pass
+    second = run_analyses(spark, tables, out, "conflicts", run_id="night", retries=1)
+    sizes = [
+        read_result(spark, out, name).agg(F.lit(name).alias("result_set"), F.lit(2 if name in second else 1).alias("start"), F.count("*").alias("n_rows"))
+        for name in RESUMED
+    ]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+def _resumed_sql() -> str:
+    relations = (oracle.NEWS_EVENTS, oracle.MENTIONS, oracle.HOURLY)
+    counts = " UNION ALL ".join(
+        f"SELECT '{name}' AS result_set, {2 if name == 'escalation_events' else 1} AS start, count(*) AS n_rows FROM ({oracle.RESULTS[name][1]})"
+        for name in RESUMED
+    )
+    return f"WITH {', '.join(relations)} {counts}"
+
+
 def heatmap_of_shared_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heatmap from a cached input that keeps only the analyses' columns."""
     events = landed.shared_input(sample_tables.landed_table(spark, sf_dir, "events"), SHARED_COLUMNS["events"])
@@ -174,6 +203,7 @@ def twins() -> dict[str, Twin]:
         "routed_files": (routed_files, ROUTED_SQL),
         "rejected_lines": (rejected_lines, REJECTED_SQL),
         "expiring_stream": (expiring_stream, f"{BRIEF_SQL} WHERE GlobalEventID % 2 = 1"),
+        "resumed_run": (resumed_run, _resumed_sql()),
         "logged_runs": (logged_runs, LOGGED_SQL),
         "a04_shipped_regions": (cameo_by_shipped_regions, SHIPPED_SQL),
     }

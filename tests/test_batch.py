@@ -99,6 +99,31 @@ def test_a_failing_analysis_is_logged_and_others_are_written(spark, tables, tmp_
     assert results.read_result(spark, str(tmp_path), "sentiment_trend").count() > 0
 
 
+def test_a_run_is_resumed_and_tried_again(spark, tables, tmp_path, monkeypatch):
+    calls = []
+
+    def breaks(times):
+        def build(events):
+            calls.append(1)
+            if len(calls) <= times:
+                raise ValueError("not yet")
+            return tables["events"].selectExpr("GlobalEventID AS event_count")
+
+        return Analysis("A05", "actor_interaction_matrix", "sentiment", ("events",), build, ())
+
+    monkeypatch.setitem(ANALYSES, "actor_interaction_matrix", breaks(1))
+    with pytest.raises(batch.RunFailed):
+        batch.run_analyses(spark, tables, str(tmp_path), "sentiment", run_id="r1")
+    first = (tmp_path / "tone_conflict_lag" / "_SUCCESS").stat().st_mtime_ns
+    assert batch.run_analyses(spark, tables, str(tmp_path), "sentiment", run_id="r1") == ["actor_interaction_matrix"]
+    assert batch.run_analyses(spark, tables, str(tmp_path), "sentiment", run_id="r1") == []
+    assert (tmp_path / "tone_conflict_lag" / "_SUCCESS").stat().st_mtime_ns == first
+    calls.clear()
+    monkeypatch.setitem(ANALYSES, "actor_interaction_matrix", breaks(2))
+    assert "actor_interaction_matrix" in batch.run_analyses(spark, tables, str(tmp_path), "sentiment", retries=2)
+    assert len(calls) == 3
+
+
 def test_write_result_formats_and_order(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (3, "b"), (2, "c")], "n long, x string")
     results.write_result(df, "one", str(tmp_path), fmt="json", sort=("-n",))

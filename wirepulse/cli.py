@@ -24,6 +24,8 @@ def build_parser() -> argparse.ArgumentParser:
     run.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="writer option")
     run.add_argument("--ordered", action="store_true", help="write rows in presentation order")
     run.add_argument("--cache", action="store_true", help="keep the shared input columns in memory or on disk")
+    run.add_argument("--run-id", help="name of the run; started again under it, only what is left is done")
+    run.add_argument("--retries", type=int, default=0, help="further tries of an analysis that fails")
     run.add_argument("--jobs", type=int, default=3, help="analyses submitted at once")
 
     ingest = commands.add_parser("ingest", help="land raw files and expire old rows")
@@ -107,6 +109,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         written = run_group(
             spark, args.parquet_dir, args.out_dir, args.group, args.since,
             ordered=args.ordered, cache=args.cache, concurrent_jobs=args.jobs, fmt=args.fmt, options=options,
+            run_id=args.run_id, retries=args.retries,
         )
         print("\n".join(written))
     elif args.command == "ingest":

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirepulse.operators.rollups import ROLLUPS
 from wirepulse.plans.registry import SHARED_COLUMNS, Analysis, in_group
-from wirepulse.plans.results import record_run, write_result
+from wirepulse.plans.results import done_by, note_done, record_run, write_result
 from wirepulse.session import materialise, scratch_folder
 from wirepulse.sources.landed import read_tables, shared_input
 
@@ -66,9 +66,14 @@ def run_analyses(
     concurrent_jobs: int = 3,
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
+    run_id: str | None = None,
+    retries: int = 0,
 ) -> list[str]:
     """Run a group of analyses and write each result set; returns their names.
 
+    An analysis that fails is tried ``retries`` more times. A run with a ``run_id`` keeps a
+    manifest of what it has written: started again, it does only what is left, and returns that.
+
     The jobs are independent, so several are submitted at once and share the cluster. A
     failing analysis does not stop the others; the run is logged either way. ``cache`` keeps
     the columns that the analyses read, for inputs that fit the cluster's memory and disks.
@@ -76,19 +81,28 @@ def run_analyses(
     """
     started = datetime.now(timezone.utc)
     analyses = in_group(group)
+    if run_id:
+        written = done_by(spark, out_dir, run_id)
+        analyses = [analysis for analysis in analyses if analysis.result not in written]
     cached: dict[str, DataFrame] = {}
 
     def write(analysis: Analysis) -> Exception | None:
-        try:
-            frame = result_frame(analysis, read, rollups, folder)
-            order = analysis.order if ordered else ()
-            write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options, by=analysis.by)
-        except Exception as error:  # noqa: BLE001  (reported below, with the run logged)
-            return error
-        return None
+        failure = None
+        for attempt in range(1 + retries):
+            try:
+                part = f"{folder}/{attempt}"
+                frame = result_frame(analysis, read, rollups, part)
+                order = analysis.order if ordered else ()
+                write_result(frame, analysis.result, out_dir, fmt=fmt, sort=order, options=options, by=analysis.by)
+                if run_id:
+                    note_done(spark, out_dir, run_id, analysis.result)
+                return None
+            except Exception as error:  # noqa: BLE001  (reported below, with the run logged)
+                failure = error
+        return failure
 
     def log(failed: list[str]) -> None:
-        record_run(spark, out_dir, f"{group}-{uuid.uuid4().hex}", started, datetime.now(timezone.utc), failed)
+        record_run(spark, out_dir, f"{group}-{run_id or uuid.uuid4().hex}", started, datetime.now(timezone.utc), failed)
 
     try:
         read = tables() if callable(tables) else tables

@@ -19,6 +19,9 @@ RUN_LOG = "pipeline_runs"
 #: Empty copies of the result sets, which hold their schemas.
 SCHEMAS = "_schemas"
 
+#: What each named run has written so far.
+MANIFEST = "_manifest"
+
 RUN_LOG_SCHEMA = StructType([
     StructField("run_id", StringType()),
     StructField("started_at", TimestampType()),
@@ -97,6 +100,18 @@ def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: read_result(spark, path, name) for name in ANALYSES}
 
 
+def note_done(spark: SparkSession, path: str, run_id: str, name: str) -> None:
+    """Note that a run has written a result set, with the time."""
+    done = spark.range(1).select(F.lit(name).alias("result"), F.current_timestamp().alias("at"))
+    done.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}/{run_id}/{name}")
+
+
+def done_by(spark: SparkSession, path: str, run_id: str) -> set[str]:
+    """The result sets that a run has written."""
+    files, pattern = file_system(spark, f"{path}/{MANIFEST}/{run_id}/*/_SUCCESS")
+    return {status.getPath().getParent().getName() for status in files.globStatus(pattern) or []}
+
+
 def record_run(
     spark: SparkSession,
     path: str,
