@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity import oracle, sample_tables
-from wirepulse.operators import actors, conflict
+from wirepulse.operators import actors, conflict, media
 from wirepulse.plans.batch import run_analyses
 from wirepulse.plans.registry import SHARED_COLUMNS
 from wirepulse.plans.results import read_result, run_log
-from wirepulse.session import file_system, scratch_path
+from wirepulse.session import file_system, materialise, scratch_path
 from wirepulse.sources import landed, raw
 from wirepulse.streaming.ingest import ingest_stream
 
@@ -136,6 +136,23 @@ LOGGED_SQL = """SELECT 'conflicts' AS analyses, 'success' AS status, NULL::VARCH
     UNION ALL SELECT 'conflicts', 'failed', 'escalation_events', true"""
 
 
+def diversity_of_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources per country over all days from stored daily sketches, beside whether they are within 3 % of the exact number."""
+    tables = sample_tables.tables(spark, sf_dir)
+    stored = materialise(media.source_sketches(tables["mentions"], tables["events"]), scratch_path(spark, "sketches"))
+    merged = media.diversity_over_days(stored).select("country", "unique_sources", "total_mentions")
+    placed = media.source_counts(tables["mentions"]).join(media.event_places(tables["events"]), "GlobalEventID")
+    exact = placed.groupBy(F.col("country").alias("_country")).agg(F.count_distinct("MentionSourceName").alias("_exact"))
+    near = F.abs(F.col("unique_sources") - F.col("_exact")) <= 0.03 * F.col("_exact")
+    return merged.join(exact, F.col("country") == F.col("_country")).select("country", "total_mentions", near.alias("within_3_percent"))
+
+
+DIVERSITY_SQL = f"""WITH {oracle.NEWS_EVENTS}, {oracle.MENTIONS}
+    SELECT ActionGeo_CountryCode AS country, count(*) AS total_mentions, true AS within_3_percent
+    FROM mentions JOIN news_events USING (GlobalEventID)
+    WHERE ActionGeo_CountryCode IS NOT NULL AND MentionSourceName IS NOT NULL GROUP BY 1"""
+
+
 RESUMED = ("conflict_heatmap", "conflict_pairs", "escalation_events", "diplomatic_network", "ethnic_conflicts")
 
 
@@ -203,6 +220,7 @@ def twins() -> dict[str, Twin]:
         "routed_files": (routed_files, ROUTED_SQL),
         "rejected_lines": (rejected_lines, REJECTED_SQL),
         "expiring_stream": (expiring_stream, f"{BRIEF_SQL} WHERE GlobalEventID % 2 = 1"),
+        "a15_merged_days": (diversity_of_merged_days, DIVERSITY_SQL),
         "resumed_run": (resumed_run, _resumed_sql()),
         "logged_runs": (logged_runs, LOGGED_SQL),
         "a04_shipped_regions": (cameo_by_shipped_regions, SHIPPED_SQL),

@@ -286,3 +286,13 @@ def test_invariants(spark, events_of):
     assert network.where("diplomatic_count + conflict_count > total_interactions").count() == 0
     assert sentiment.extreme_tone_events(events).count() == 30
     assert media.top_news_countries(events, k=2).where("rank > 2").count() == 0
+
+
+def test_merged_sketches_of_sources_are_near(spark, mentions_of, events_of):
+    mentions = mentions_of(*[(i % 40, "20240101000000", f"s{(i * 7919) % 9000}") for i in range(12_000)])
+    events = events_of(*[{"GlobalEventID": i, "Day": 20240101 + i % 8, "ActionGeo_CountryCode": "FR"} for i in range(40)])
+    daily = media.source_sketches(mentions, events)
+    assert daily.count() == 8
+    (row,) = media.diversity_over_days(daily).collect()
+    assert row["total_mentions"] == 12_000
+    assert abs(row["unique_sources"] - 9000) <= 0.03 * 9000

@@ -9,6 +9,9 @@ from wirepulse.functions.columns import filled, published_date, stamp_number, wa
 from wirepulse.operators.ranking import keep_top_ranked
 from wirepulse.operators.rollups import country_day, country_event_day
 
+#: A sketch of distinct sources has 2 to this power registers; its standard error is 0.8 %.
+SKETCH_BITS = 14
+
 
 def top_news_countries(events: DataFrame, *, k: int = 10) -> DataFrame:
     """Countries with the most events per publication date; ties share a rank."""
@@ -96,6 +99,22 @@ def source_diversity_index(mentions: DataFrame, events: DataFrame, *, approx: bo
     return diversity_from(source_counts(mentions), event_places(events), approx=approx)
 
 
+def source_sketches(mentions: DataFrame, events: DataFrame) -> DataFrame:
+    """Per country and event date a sketch of its distinct sources, which unlike their number can be merged."""
+    placed = source_counts(mentions).join(event_places(events).where("country IS NOT NULL"), "GlobalEventID")
+    return placed.groupBy("country", "date").agg(
+        F.hll_sketch_agg("MentionSourceName", SKETCH_BITS).alias("sources"), F.sum("mentions").alias("total_mentions"),
+    )
+
+
+def diversity_over_days(sketches: DataFrame) -> DataFrame:
+    """Distinct sources per country over all days of the sketches, about one percent off at most times."""
+    merged = sketches.groupBy("country").agg(F.hll_union_agg("sources").alias("_sources"), F.sum("total_mentions").alias("total_mentions"))
+    return merged.select("country", F.hll_sketch_estimate("_sources").alias("unique_sources"), "total_mentions").withColumn(
+        "source_diversity_index", F.log(F.col("unique_sources") + 1)
+    )
+
+
 def tick_counts(mentions: DataFrame) -> DataFrame:
     """Mentions per event and time stamp. Stamps that are no time drop out."""
     return (
