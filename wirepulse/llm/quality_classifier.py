@@ -71,21 +71,22 @@ def _remainder(column: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents that are not held out.
+    """Features and labels of at most ``limit`` labelled ids that are not held out.
 
-    The limit bounds what is broadcast and what comes to the driver.
+    The limit bounds what is broadcast and what comes to the driver: an id gives one row
+    however often it occurs, with its largest label and its smallest features.
     """
     chosen = (
         labels.where((_remainder("doc_id") != HELD_OUT) & F.col("quality").isin(0, 1))
-        .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
+        .groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def rows(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
         return {"doc_id": ids, "x": matrix(texts).tolist()}
 
-    found = map_texts(known, rows, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id")
-    table = found.select("x", "quality").toArrow()
+    measured = map_texts(known, rows, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
+    table = measured.join(F.broadcast(chosen), "doc_id").select("x", "quality").toArrow()
     x = np.array(table["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return x, np.array(table["quality"].to_pylist(), np.float64)
 
