@@ -30,6 +30,7 @@ from wirepulse.session import scratch_path  # noqa: E402
 from wirepulse.sources.landed import MARKS, land_once, read_events, stamp  # noqa: E402
 from wirepulse.sources.raw import parse_lines  # noqa: E402
 from wirepulse.streaming.refresh import refresh_results_stream  # noqa: E402
+from wirepulse.streaming.sums import Store, merge_batch  # noqa: E402
 
 
 def session(cpus: str) -> SparkSession:
@@ -72,7 +73,11 @@ def paths(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         lines = sample_tables.raw_lines(sample_tables.news_events(spark, sf_dir), "events")
         land_once(stamp(parse_lines(lines, "events"), INGESTED_AT), spark.createDataFrame([("bench", INGESTED_AT)], MARKS), "events", f"{folder}/landed")
 
+    merged, late = Store(spark, f"{folder}/sums"), "Day = 20240130 AND GlobalEventID % 20 = 0"
+    batches = [{"events": tables["events"].where(where)} for where in (f"NOT ({late})", late)]
     return {
+        "sum_up_history": seconds(lambda: merge_batch(batches[0], 1, merged, f"{folder}/merged")),
+        "merge_late_rows_of_a_day": seconds(lambda: merge_batch(batches[1], 2, merged, f"{folder}/merged")),
         "run_all": seconds(lambda: run_analyses(spark, tables, f"{folder}/out")),
         "refresh_all_days": seconds(refresh),
         "parse_and_land_events": seconds(land),
