@@ -33,6 +33,10 @@ from wirepulse.streaming.refresh import refresh_results_stream  # noqa: E402
 from wirepulse.streaming.sums import Store, merge_batch  # noqa: E402
 
 
+#: Results of which the merged refresh is timed.
+MERGED = ["conflict_heatmap", "sentiment_trend", "actor_interaction_matrix"]
+
+
 def session(cpus: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
@@ -76,8 +80,8 @@ def paths(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     merged, late = Store(spark, f"{folder}/sums"), "Day = 20240130 AND GlobalEventID % 20 = 0"
     batches = [{"events": tables["events"].where(where)} for where in (f"NOT ({late})", late)]
     return {
-        "sum_up_history": seconds(lambda: merge_batch(batches[0], 1, merged, f"{folder}/merged")),
-        "merge_late_rows_of_a_day": seconds(lambda: merge_batch(batches[1], 2, merged, f"{folder}/merged")),
+        "sum_up_history": seconds(lambda: merge_batch(batches[0], 1, merged, f"{folder}/merged", MERGED)),
+        "merge_late_rows_of_a_day": seconds(lambda: merge_batch(batches[1], 2, merged, f"{folder}/merged", MERGED)),
         "run_all": seconds(lambda: run_analyses(spark, tables, f"{folder}/out")),
         "refresh_all_days": seconds(refresh),
         "parse_and_land_events": seconds(land),
