@@ -216,12 +216,12 @@ def merged(result: str) -> Query:
 
     The batches cut every day, so each brings late rows to the days of the one before.
     """
-    parts = {
-        "events": F.col("GlobalEventID"), "gkg": F.xxhash64("GKGRECORDID"),
-        "mentions": F.xxhash64("GlobalEventID", "MentionTimeDate", "MentionSourceName"),
-    }
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = {
+            "events": F.col("GlobalEventID"), "gkg": F.xxhash64("GKGRECORDID"),
+            "mentions": F.xxhash64("GlobalEventID", "MentionTimeDate", "MentionSourceName"),
+        }
         work = scratch_path(spark, f"merged-{result}")
         store = sums.Store(spark, f"{work}/sums")
         for number in (1, 2, 3, 3):
