@@ -7,7 +7,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from wirepulse.llm import decontamination, text
+from wirepulse.llm import decontamination, text, token_files
 
 
 def benchmark_texts() -> list[bytes]:
@@ -56,3 +56,31 @@ def test_slices_of_a_column():
         held = sum(len(t or "") for t in column.slice(a, b - a).to_pylist())
         assert held <= 32 or b - a == 1
     assert list(text.slices(pa.array([], pa.string()), 5)) == []
+
+
+def test_encoder_holds_few_bytes_of_what_it_has_seen(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED_BYTES", 40_000)
+    monkeypatch.setattr(token_files, "PARTS_LETTERS", 20_000)
+    encode = token_files.Encoder(token_files.vocabulary())
+    for k in range(12):
+        # Unseen words, texts without any space, and pieces with line ends.
+        texts = [f"first{k}x{i}.\nline and word{k}y{i}, " + "z" * 5 + f"{k}{i}" for i in range(200)] + [f"{k}" + "語" * 500] * 2
+        flat, sizes = encode.ids(pa.array(texts))
+        want = [one.ids for one in encode.library.encode_batch(texts, add_special_tokens=False)]
+        assert flat.tolist() == [i for ids in want for i in ids] and sizes.tolist() == list(map(len, want))
+        assert encode.words.names.nbytes + encode.words.flat.nbytes <= 40_000
+        held = [*encode.known.items(), *encode.before.items()]
+        assert sum(len(name) for name, _ in held) <= 4 * 20_000
+    assert len(encode.words.names) > 100
+
+
+def test_encoder_remembers_words_in_little_room():
+    encode = token_files.Encoder(token_files.vocabulary())
+    encode.ids(pa.array(["a first text"]))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for k in range(5):
+        encode.ids(pa.array([" ".join(f"w{k}q{i}" for i in range(12_000))]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 60 * 60_000

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,12 @@ SPECIAL = "<|endoftext|>"
 #: A block is complete from so many ids on; texts are encoded in slices of so many bytes.
 BLOCK_IDS = 1 << 20
 SLICE_BYTES = 2 << 20
-#: Distinct pieces of text in one generation of a worker's memory; it keeps two.
-REMEMBERED = 500_000
+#: Texts go to the library in lists of so many bytes.
+LIBRARY_BYTES = 128 << 10
+#: Bytes of words and ids in a worker's memory before it forgets the half not used for longest.
+REMEMBERED_BYTES = 24 << 20
+#: First pieces, and pieces with line ends, in one generation of it, and their letters; it keeps two.
+PARTS, PARTS_LETTERS = 50_000, 1 << 20
 #: A last one of these is a token of its own after a letter.
 MARKS = ".,;:!?"
 #: Atoms that the library encodes as one text.
@@ -57,7 +61,7 @@ def _mask(found: pa.Array) -> np.ndarray:
 def _gathered(table: np.ndarray, first: np.ndarray, held: np.ndarray, more: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
     """Stretches of ``held`` values from ``first`` on, one after the other; where ``more``, the final value is ``last``."""
     ends = np.cumsum(held)
-    at = np.repeat(first - (ends - held), held) + np.arange(ends[-1])
+    at = np.repeat(first - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)
     if more is None:
         return table[at]
     out = table[np.minimum(at, len(table) - 1)] if len(table) else np.zeros(len(at), "<u4")
@@ -65,6 +69,42 @@ def _gathered(table: np.ndarray, first: np.ndarray, held: np.ndarray, more: np.n
     return out
 
 
+class Words:
+    """Ids of words seen before, in Arrow and numpy: Python objects would take several times the room."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.turn, self.bytes = limit, 0, 0
+        self.names = pa.array([], pa.large_string())
+        self.flat, self.sizes, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def ids(self, words: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and how many each has; ``encode`` is asked for new ones."""
+        self.turn += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy().astype(np.int64)
+        fresh = at < 0
+        if fresh.any():
+            at[fresh] = len(self.names) + np.arange(np.count_nonzero(fresh))
+            names = words.filter(pa.array(fresh))
+            coded = encode(names.to_pylist())
+            self.names = pa.concat_arrays([self.names, names])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), "<u4")])
+            self.sizes = np.concatenate([self.sizes, np.array([len(one) // 4 for one in coded], np.int32)])
+            self.used = np.concatenate([self.used, np.zeros(len(coded), np.int32)])
+            self.bytes = self.names.nbytes + self.flat.nbytes + self.sizes.nbytes + self.used.nbytes
+        self.used[at] = self.turn
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        sizes = self.sizes[at].astype(np.int64)
+        flat = _gathered(self.flat, starts[at], sizes)
+        if self.bytes > self.limit:
+            latest = np.argsort(-self.used, kind="stable")
+            room = pc.binary_length(self.names).to_numpy() + 4 * self.sizes.astype(np.int64) + 16
+            kept = np.sort(latest[np.cumsum(room[latest]) <= self.limit // 2])
+            self.names = self.names.take(pa.array(kept))
+            self.flat = _gathered(self.flat, starts[kept], self.sizes[kept].astype(np.int64))
+            self.sizes, self.used = self.sizes[kept], self.used[kept]
+        return flat, sizes
+
+
 class Encoder:
     """Ids of texts from a byte-level BPE of the tokenizers library.
 
@@ -85,14 +125,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.words = Words(REMEMBERED_BYTES)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.letters = 0
         self.line = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4")
         self.marks = {mark: self.library.encode("a" + mark, add_special_tokens=False).ids[-1] for mark in MARKS}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in encoded]
+        """Ids of texts from the library, a few texts at a time: what it returns takes a hundred times a text's size."""
+        out: list[bytes] = []
+        for a, b in slices(pa.array(texts, pa.large_string()), LIBRARY_BYTES):
+            encoded = self.library.encode_batch_fast(texts[a:b], add_special_tokens=False)
+            out += [np.array(one.ids, "<u4").tobytes() for one in encoded]
+        return out
 
     def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
         """Ids of texts without line ends and blank ends, from long texts that join them by line ends."""
@@ -135,8 +181,7 @@ class Encoder:
         word = words.indices.to_numpy().astype(np.int64)
         wanted = np.zeros(len(words.dictionary), bool)
         wanted[word[used[:len(names)]]] = True
-        listed = words.dictionary.filter(pa.array(wanted)).to_pylist()
-        coded = self._known_words([" " + one for one in listed])
+        coded, counts = self.words.ids(words.dictionary.filter(pa.array(wanted)), self._encode_words)
         place = np.cumsum(wanted) - 1
         last = np.zeros(len(names), np.int64)
         for mark, one in self.marks.items():
@@ -147,15 +192,14 @@ class Encoder:
         begun = [known[name] if name and not skip else b"" for name, skip in zip(firsts, whole.tolist(), strict=True)]
         for at, one in zip(np.flatnonzero(whole).tolist(), self._encode([texts[at].as_py() for at in np.flatnonzero(whole).tolist()]), strict=True):
             begun[at] = one
-        if len(known) > REMEMBERED:
-            self.known, self.before = {}, known
+        if len(known) > PARTS or self.letters > PARTS_LETTERS:
+            self.known, self.before, self.letters = {}, known, 0
         # Entries: pieces as a word and perhaps a mark, first pieces, and an empty one at the end.
-        parts = [*coded, *begun, b""]
-        table = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.array([len(one) // 4 for one in parts], np.int64)
+        table = np.concatenate([coded, np.frombuffer(b"".join(begun), "<u4")])
+        sizes = np.concatenate([counts, [len(one) // 4 for one in begun], [0]]).astype(np.int64)
         first = np.cumsum(sizes) - sizes
-        entry = np.concatenate([place[word], len(coded) + np.arange(len(texts) + 1)])
-        entry[:len(names)][~used[:len(names)]] = len(parts) - 1
+        entry = np.concatenate([place[word], len(counts) + np.arange(len(texts) + 1)])
+        entry[:len(names)][~used[:len(names)]] = len(sizes) - 1
         more = np.append(marked, np.zeros(len(texts) + 1, bool))
         held = sizes[entry] + more
         pieces = _gathered(table, first[entry], held, more, np.append(last, np.zeros(len(texts) + 1, np.int64)))
@@ -163,17 +207,14 @@ class Encoder:
         flat = _gathered(pieces, begin[which], held[which])
         return flat, np.add.reduceat(held[which], starts)
 
-    def _known_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with their space before them; some hold line ends."""
-        known, before = self.known, self.before
-        found = list(map(known.get, words))
-        fresh = [word for word, one in zip(words, found, strict=True) if one is None]
-        known.update((word, before[word]) for word in fresh if word in before)
-        fresh = [word for word in fresh if word not in before]
-        plain = [word for word in fresh if "\n" not in word]
-        known.update(zip(plain, self._encode_atoms(plain), strict=True))
-        self._learn({word for word in fresh if "\n" in word})
-        return [known[word] if one is None else one for word, one in zip(words, found, strict=True)]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them; some hold line ends."""
+        words = [" " + word for word in words]
+        plain = [word for word in words if "\n" not in word]
+        lined = {word for word in words if "\n" in word}
+        self._learn(lined)
+        coded = iter(self._encode_atoms(plain))
+        return [self.known[word] if word in lined else next(coded) for word in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -183,6 +224,7 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         known, before = self.known, self.before
         pieces = [piece for piece in pieces if piece not in known]
+        self.letters += sum(map(len, pieces))
         atoms = {piece: self._atoms(piece) for piece in pieces if piece not in before}
         known.update((piece, before[piece]) for piece in pieces if piece in before)
         fresh = {atom for parts in atoms.values() for atom in parts if atom not in known}
