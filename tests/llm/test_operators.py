@@ -436,3 +436,52 @@ def test_boosted_trees():
     same = boosted_trees.fit(rows[:10], np.ones(10))
     assert (same.score(rows) > 0.9).all()
     assert boosted_trees.fit(rows[:0], labels[:0]).score(rows[:2]) == pytest.approx([0.5, 0.5])
+
+
+class CountingLibrary:
+    """A tokenizer that counts the letters of the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.letters = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.letters += sum(map(len, texts))
+        return self.library.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+
+def test_encoder_asks_the_whole_library_for_few_pieces():
+    encode = token_files.Encoder(token_files.vocabulary())
+    library = encode.library = CountingLibrary(encode.library)
+    words = ["erenberbe", "Uneréierch", "enäüß", "706", "des", "日本"]
+    made = [f"{a} {b}{sign}{c} {a}&&&" for a in words for b in words for c in words for sign in (".\n", "&&&", "\n\n", " ***\n(")]
+    want = [one.ids for one in library.library.encode_batch(made, add_special_tokens=False)]
+    assert encode(made) == [np.array(ids, "<u4").tobytes() for ids in want]
+    assert library.letters == 0 and len(encode.words.names) < 40
+
+
+def test_encoder_knows_every_kind_of_character():
+    encode = token_files.Encoder(token_files.vocabulary())
+    rng = random.Random(5)
+    parts = [*"aZé日ßªʰ₂²Ⅷ٣0_'’-€😀\t\n\r\v\f\0\x1c\x1f\x85\xa0 ", *"̈ि᠎  ​‍  　﻿￾\U0001f1e6", "'s", "'ll", "'ve", "''t", "ab", " x"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(8000)]
+    want = [np.array(one.ids, "<u4").tobytes() for one in encode.library.encode_batch(made, add_special_tokens=False)]
+    assert encode(made) == want and encode(made) == want
+
+
+def test_encoder_with_other_vocabularies(tmp_path):
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    small = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3, "Ġa": 4, "Ċ": 5}, [("a", "b"), ("Ġ", "a")]))
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other = Tokenizer(Tokenizer.from_file(token_files.vocabulary()).model)
+    cuts = pre_tokenizers.Split(Regex(r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), "isolated")
+    other.pre_tokenizer = pre_tokenizers.Sequence([cuts, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    rng = random.Random(6)
+    made = ["".join(rng.choice(["a", "b", "z", " ", "\n", "zz", "'s", "é", "1234", "."]) for _ in range(rng.randrange(9))) for _ in range(2000)]
+    for name, library in (("small", small), ("other", other)):
+        library.save(str(tmp_path / name))
+        want = [np.array(one.ids, "<u4").tobytes() for one in library.encode_batch(made, add_special_tokens=False)]
+        assert token_files.Encoder(str(tmp_path / name))(made) == want

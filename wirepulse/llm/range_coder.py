@@ -50,14 +50,18 @@ class Model:
     """
 
     def __init__(self, alphabet: int) -> None:
-        self.one = np.full(alphabet, alphabet * 4, np.int64)
-        self.two = np.full(1 << ORDER2_BITS, alphabet * 4, np.int64)
+        self.one = np.full(alphabet, alphabet * 4, np.int32)
+        self.two = np.full(1 << ORDER2_BITS, alphabet * 4, np.int32)
+        self.seen: list[np.ndarray] = []
         self.counts = np.ones(alphabet, np.int64)
         self.hits = np.full((32, 3), 2, np.int64)
         self.step = 0
         self._tabulate()
 
     def _tabulate(self) -> None:
+        if self.seen:
+            self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))
+            self.seen = []
         self.cumulative = np.zeros(len(self.counts) + 1, np.uint64)
         np.cumsum(self.counts.view(np.uint64), out=self.cumulative[1:])
         self.first = None
@@ -77,9 +81,9 @@ class Model:
             self.shift = np.uint64(max(0, int(self.cumulative[-1]).bit_length() - BUCKET_BITS))
             size = (np.uint64(1) << self.shift) - np.uint64(1)
             starts = ((self.cumulative + size) >> self.shift).view(np.int64)
-            self.first = np.repeat(np.arange(len(self.counts)), np.diff(starts))
+            self.first = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(starts))
         value = np.minimum(value, self.cumulative[-1] - np.uint64(1))
-        found = self.first[(value >> self.shift).view(np.int64)]
+        found = self.first[(value >> self.shift).view(np.int64)].astype(np.int64)
         past = np.flatnonzero(value >= self.cumulative[found + 1])
         found[past] = np.searchsorted(self.cumulative, value[past], side="right") - 1
         return found
@@ -94,14 +98,16 @@ class Model:
 
     def kind(self, ids: np.ndarray) -> np.ndarray:
         """Which prediction names the id: order 2, order 1 or only order 0."""
-        return 2 - np.maximum((ids == self.guess_two) * 2, (ids == self.guess_one) * 1)
+        missed = (ids != self.guess_two).view(np.int8)
+        return (missed << 1) - (missed & (ids == self.guess_one).view(np.int8))
 
     def learn(self, ids: np.ndarray, mixed: np.ndarray) -> None:
-        named = ids << 2
-        self.one[self.last] = named + (ids == self.guess_one) * np.minimum(self.sure_one + 1, 3)
-        self.two[self.slot] = named + (ids == self.guess_two) * np.minimum(self.sure_two + 1, 3)
+        few = ids.astype(np.int32)
+        named = few << 2
+        self.one[self.last] = named + (few == self.guess_one) * np.minimum(self.sure_one + 1, 3)
+        self.two[self.slot] = named + (few == self.guess_two) * np.minimum(self.sure_two + 1, 3)
         self.hits += np.bincount(mixed, minlength=96).reshape(32, 3)
-        np.add.at(self.counts, ids, GAIN)
+        self.seen.append(ids)
         self.step += 1
         if self.step < EARLY or self.step % EVERY == 0:
             self._tabulate()
@@ -115,24 +121,25 @@ def _lanes(n: int) -> tuple[int, int]:
 
 def encode(ids: np.ndarray) -> bytes:
     """One block; ``ids`` are non-negative integers below 2 ** 20."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids).astype("<u4", copy=False)
     n = len(ids)
     alphabet = int(ids.max()) + 1 if n else 1
-    checksum = zlib.crc32(ids.astype("<u4").tobytes())
+    checksum = zlib.crc32(ids.tobytes())
     lanes, tail = _lanes(n)
     if not n:
         return HEADER.pack(MAGIC, 0, alphabet, checksum, 0)
-    grid = np.zeros(lanes * STEPS, np.int64)
+    grid = np.zeros(lanes * STEPS, np.uint32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
     model = Model(alphabet)
     before = last = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, used = np.zeros((lanes, 4 * STEPS + 8), np.uint16), np.zeros(lanes, np.int64)
+    # A row holds the words of the same number of all lanes, which are near each other in time.
+    words, used = np.zeros((4 * STEPS + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
     for step in range(STEPS if lanes > 1 else tail):
         # The last lane may end early; the others go on without it.
         live = lanes if step < tail else lanes - 1
-        now = grid[step][:live]
+        now = grid[step][:live].astype(np.int64)
         model.predict(before[:live], last[:live])
         kind = model.kind(now)
         mixed = model.context * 3 + kind
@@ -149,7 +156,7 @@ def encode(ids: np.ndarray) -> bytes:
         small = np.flatnonzero(width < _LEAST)
         while len(small):
             some = at[small]
-            words[small, used[small]] = some >> _TOP
+            words[used[small], small] = some >> _TOP
             used[small] += 1
             at[small] = some << _WORD
             width[small] <<= _WORD
@@ -159,21 +166,22 @@ def encode(ids: np.ndarray) -> bytes:
         before, last = last, now
     lane = np.arange(lanes)
     for shift in (48, 32, 16, 0):
-        words[lane, used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+        words[used, lane] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         used += 1
+    words = words[:used.max()].T
     filled = words[np.arange(words.shape[1]) < used[:, None]]
     return HEADER.pack(MAGIC, n, alphabet, checksum, lanes) + used.astype("<u2").tobytes() + filled.astype("<u2").tobytes()
 
 
 def _carry(words: np.ndarray, lane: np.ndarray, at: np.ndarray) -> None:
     while len(lane):
-        words[lane, at] += np.uint16(1)
-        more = words[lane, at] == 0
+        words[at, lane] += np.uint16(1)
+        more = words[at, lane] == 0
         lane, at = lane[more], at[more] - 1
 
 
 def decode(block: bytes) -> np.ndarray:
-    """The ids of a block; raises ``ValueError`` if it is damaged."""
+    """The ids of a block as uint32; raises ``ValueError`` if it is damaged."""
     magic, n, alphabet, checksum, lanes = HEADER.unpack_from(block)
     if magic != MAGIC or _lanes(n)[0] != lanes:
         raise ValueError("not a token block")
@@ -181,18 +189,18 @@ def decode(block: bytes) -> np.ndarray:
     words = np.frombuffer(block, "<u2", offset=HEADER.size + 2 * lanes)
     if len(words) != used.sum() or (n and used.min() < 4):
         raise ValueError("token block of a wrong length")
-    ids = np.zeros(0, np.int64)
+    ids = np.zeros(0, np.uint32)
     if n:
         tail = _lanes(n)[1]
         model = Model(alphabet)
         at = np.cumsum(used) - used
-        words = np.concatenate([words, np.zeros(8, np.uint16)]).astype(np.uint64)
+        words = np.concatenate([words, np.zeros(8, np.uint16)])
         code = np.zeros(lanes, np.uint64)
         for _ in range(4):
             code = (code << _WORD) | words[at]
             at += 1
         span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        grid = np.zeros((STEPS, lanes), np.int64)
+        grid = np.zeros((STEPS, lanes), np.uint32)
         before = last = np.zeros(lanes, np.int64)
         for step in range(STEPS if lanes > 1 else tail):
             live = lanes if step < tail else lanes - 1
@@ -202,7 +210,7 @@ def decode(block: bytes) -> np.ndarray:
             kind = (rest_code >= unit * model.second[context]) * 1 + (rest_code >= unit * model.third[context])
             mixed = context * 3 + kind
             rest_code, width = rest_code - unit * model.starts[mixed], unit * model.shares[mixed]
-            now = np.where(kind == 0, model.guess_two, model.guess_one)
+            now = np.where(kind == 0, model.guess_two, model.guess_one).astype(np.int64)
             rest = np.flatnonzero(kind == 2)
             unit = width[rest] // model.cumulative[-1]
             now[rest] = found = model.find(rest_code[rest] // unit)
@@ -211,7 +219,7 @@ def decode(block: bytes) -> np.ndarray:
             width[rest] = unit * (model.cumulative[found + 1] - start)
             small = np.flatnonzero(width < _LEAST)
             while len(small):
-                rest_code[small] = (rest_code[small] << _WORD) | words[np.minimum(at[small], len(words) - 1)]
+                rest_code[small] = (rest_code[small] << _WORD) | words.take(at[small], mode="clip")
                 at[small] += 1
                 width[small] <<= _WORD
                 small = small[width[small] < _LEAST]
@@ -222,6 +230,6 @@ def decode(block: bytes) -> np.ndarray:
             grid[step, :live] = now
             before, last = last, now
         ids = grid.T.reshape(-1)[:n]
-    if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:
+    if zlib.crc32(ids.astype("<u4", copy=False).tobytes()) != checksum:
         raise ValueError("token block fails its checksum")
     return ids

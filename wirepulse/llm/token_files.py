@@ -27,18 +27,17 @@ END = 0
 SPECIAL = "<|endoftext|>"
 
 #: A block is complete from so many ids on; texts are encoded in slices of so many bytes.
-BLOCK_IDS = 1 << 20
-SLICE_BYTES = 2 << 20
+BLOCK_IDS = 1 << 21
+SLICE_BYTES = 4 << 20
 #: Texts go to the library in lists of so many bytes.
 LIBRARY_BYTES = 128 << 10
 #: Bytes of words and ids in a worker's memory before it forgets the half not used for longest.
 REMEMBERED_BYTES = 24 << 20
-#: First pieces, and pieces with line ends, in one generation of it, and their letters; it keeps two.
+#: Pieces that the whole library encodes in one generation of it, and their letters; it keeps two.
 PARTS, PARTS_LETTERS = 50_000, 1 << 20
-#: A last one of these is a token of its own after a letter.
-MARKS = ".,;:!?"
-#: Atoms that the library encodes as one text.
-ATOMS = 2000
+#: What the pre-tokenizer may take a character for, and what an apostrophe may take along.
+LETTER, NUMBER, SIGN, SPACE = 1, 2, 3, 4
+TAKEN = [ord(letter) for letter in "stmdrvl"]
 
 TABLE = "part long, block long, doc_ids array<long>, lengths array<long>, n_ids long, data binary"
 DOCUMENTS = "part long, block long, place long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -50,23 +49,34 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: What Python's ``isspace`` takes for white space.
-_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+def _spelling() -> np.ndarray:
+    """The letter by which byte-level vocabularies write each byte: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = np.zeros(256, "<u4")
+    table[shown] = shown
+    table[table == 0] = 256 + np.arange(256 - len(shown))
+    return table
 
 
 def _mask(found: pa.Array) -> np.ndarray:
     return found.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _gathered(table: np.ndarray, first: np.ndarray, held: np.ndarray, more: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-    """Stretches of ``held`` values from ``first`` on, one after the other; where ``more``, the final value is ``last``."""
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings, and where each begins in them, with the end."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, bounds, data = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64, len(texts) + 1, 8 * texts.offset)
+    return np.frombuffer(data or b"", np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def _gathered(table: np.ndarray, first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Stretches of ``held`` values from ``first`` on, one after the other."""
     ends = np.cumsum(held)
-    at = np.repeat(first - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)
-    if more is None:
-        return table[at]
-    out = table[np.minimum(at, len(table) - 1)] if len(table) else np.zeros(len(at), "<u4")
-    out[ends[more] - 1] = last[more]
-    return out
+    at = np.repeat(first - (ends - held), held)
+    at += np.arange(len(at))
+    return table[at]
 
 
 class Words:
@@ -77,19 +87,23 @@ class Words:
         self.names = pa.array([], pa.large_string())
         self.flat, self.sizes, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def ids(self, words: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, words: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after the other, and how many each has; ``encode`` is asked for new ones."""
         self.turn += 1
-        at = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy().astype(np.int64)
+        # The words asked for are fewer than those held, so the table to search is made of them.
+        found = pc.index_in(self.names, value_set=words)
+        held = found.is_valid()
+        at = np.full(len(words), -1)
+        at[found.filter(held).to_numpy()] = np.flatnonzero(_mask(held))
         fresh = at < 0
         if fresh.any():
             at[fresh] = len(self.names) + np.arange(np.count_nonzero(fresh))
             names = words.filter(pa.array(fresh))
-            coded = encode(names.to_pylist())
+            coded, counts = encode(names)
             self.names = pa.concat_arrays([self.names, names])
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), "<u4")])
-            self.sizes = np.concatenate([self.sizes, np.array([len(one) // 4 for one in coded], np.int32)])
-            self.used = np.concatenate([self.used, np.zeros(len(coded), np.int32)])
+            self.flat = np.concatenate([self.flat, coded])
+            self.sizes = np.concatenate([self.sizes, counts])
+            self.used = np.concatenate([self.used, np.zeros(len(names), np.int32)])
             self.bytes = self.names.nbytes + self.flat.nbytes + self.sizes.nbytes + self.used.nbytes
         self.used[at] = self.turn
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
@@ -109,28 +123,38 @@ class Encoder:
     """Ids of texts from a byte-level BPE of the tokenizers library.
 
     Such a vocabulary never joins bytes across a single space between two other
-    characters: the space starts a new piece. So texts are cut there, every distinct piece
-    is encoded by the library once, and texts are put together from the pieces' ids. A new
-    piece is cut once more, at line ends and before a last mark, which stand alone too; the
-    atoms so found go to the library many at a time, between line ends.
-    Texts with other runs of white space around a space, or with the special token's name,
-    are encoded whole.
+    characters: the space starts a new piece. So texts are cut there, and every distinct
+    piece is cut again where the library's own pre-tokenizer cuts: between letters, numbers,
+    other signs and white space. What a character counts as is asked of the library once.
+    Every distinct word so found goes to the library's BPE model, many at a time; texts are
+    put together from the words' ids.
+    Pieces with an apostrophe before a letter that it may take along, and all pieces of a
+    vocabulary with another pre-tokenizer, are encoded by the whole library. Texts with other
+    runs of white space around a space, or with the special token's name, go there uncut.
 
     Arrow cuts and numbers the pieces and numpy puts the ids together, so Python handles
-    each distinct piece of a batch once.
+    only words that are new.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.words = Words(REMEMBERED_BYTES)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.letters = 0
-        self.line = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4")
-        self.marks = {mark: self.library.encode("a" + mark, add_special_tokens=False).ids[-1] for mark in MARKS}
+        cuts = self.library.pre_tokenizer
+        self.plain = isinstance(cuts, pre_tokenizers.ByteLevel) and cuts.use_regex and not cuts.add_prefix_space and self.library.normalizer is None
+        # The model alone, on words that are spelt in the vocabulary's letters for bytes already.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.spelling = _spelling()
+        vocabulary = self.library.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.kinds = np.zeros(0x110000, np.uint8)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts from the library, a few texts at a time: what it returns takes a hundred times a text's size."""
@@ -140,19 +164,68 @@ class Encoder:
             out += [np.array(one.ids, "<u4").tobytes() for one in encoded]
         return out
 
-    def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
-        """Ids of texts without line ends and blank ends, from long texts that join them by line ends."""
-        out: list[bytes] = []
-        for at in range(0, len(atoms), ATOMS):
-            some = atoms[at:at + ATOMS]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line[0]).tolist()
-            if len(self.line) == 1 and len(cuts) == len(some) - 1:
-                data = ids.tobytes()
-                out += [data[4 * a:4 * b] for a, b in zip([0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)], strict=True)]
-            else:
-                out += self._encode(some)
-        return out
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the pre-tokenizer leaves whole, one after the other, and how many each has."""
+        flat, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for a, b in slices(words, LIBRARY_BYTES):
+            data, ends = _letters(words.slice(a, b - a))
+            spelt = np.insert(self.spelling[data], ends[1:-1], ord("\n")).tobytes().decode("utf-32-le")
+            one = self.model.encode_batch_fast([spelt], add_special_tokens=False)[0]
+            ids = np.array(one.ids, "<u4")
+            reached = np.cumsum(self.widths[ids])
+            upto = np.searchsorted(reached, ends[1:], side="right")
+            if not np.array_equal(np.append(0, reached)[upto], ends[1:]):
+                # A vocabulary without all bytes: its words say what they leave out.
+                coded = self._encode(words.slice(a, b - a).to_pylist())
+                ids, upto = np.frombuffer(b"".join(coded), "<u4"), np.cumsum([len(one) // 4 for one in coded])
+            flat.append(ids)
+            counts.append(np.diff(upto, prepend=0).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        """What the library's pre-tokenizer takes each code point for."""
+        kinds = self.kinds[points]
+        fresh = kinds == 0
+        if fresh.any():
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            for point in np.unique(points[fresh]).tolist():
+                self.kinds[point] = next((kind for kind, like in ((LETTER, "a"), (NUMBER, "1"), (SIGN, "!")) if len(cut(like + chr(point))) == 1), SPACE)
+            kinds = self.kinds[points]
+        return kinds
+
+    def _cut(self, entries: pa.Array, spaced: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of entries, of which the first ``spaced`` begin with a space, and the entry each belongs to.
+
+        And of every entry: whether it has white space at an end, beside the space that made
+        it, so that the library has to see the text around it; and whether it is one for the
+        whole library.
+        """
+        n = len(entries)
+        data, ends = _letters(entries)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        kinds = self._kinds(points)
+        first, full = np.searchsorted(at, ends[:-1]), np.diff(ends) > 0
+        last = np.searchsorted(at, ends[1:]) - 1
+        space = np.append(kinds == SPACE, True)
+        blank = full & (space[last] | space[first + (np.arange(n) < spaced)])
+
+        entry = np.repeat(np.arange(n, dtype=np.int32), last + 1 - first)
+        begin, tail = np.zeros(len(points), bool), np.zeros(len(points), bool)
+        begin[first[full]] = True
+        tail[last[full]] = True
+        lone = begin & (points == ord(" "))
+        begin[1:] |= (kinds[1:] != kinds[:-1]) & ~lone[:-1]
+        # Of several white spaces the last one stands alone.
+        begin[1:-1] |= space[1:-2] & space[:-3] & ~space[2:-1]
+        taken = np.flatnonzero((points[:-1] == ord("'")) & ~tail[:-1])
+        known = np.zeros(n, bool)
+        known[entry[taken[np.isin(points[taken + 1], TAKEN)]]] = True
+        if not self.plain:
+            known[:] = full
+        cut = np.flatnonzero(begin)
+        words = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(np.append(at[cut], len(data))), pa.py_buffer(data))
+        return words, entry[cut], blank, known
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has; null counts as empty."""
@@ -163,95 +236,58 @@ class Encoder:
         offsets = cut.offsets.to_numpy()
         starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
         numbered = cut.flatten().dictionary_encode()
-        names, which = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
-        firsts = names.take(pa.array(which[starts])).to_pylist()
-        # First pieces, which have no space before them, are entries of their own.
+        names, which = numbered.dictionary, numbered.indices.to_numpy().copy()
+        del cut, numbered
+        firsts = names.take(pa.array(which[starts]))
+        # Entries: pieces with their space, and first pieces, which have none before them.
         which[starts] = len(names) + np.arange(len(texts))
-        odd = np.append(_mask(pc.match_substring_regex(names, f"^{_BLANK}|{_BLANK}$|^$")), np.zeros(len(texts), bool))
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        entries = pa.concat_arrays([pc.binary_join_element_wise(space, names, nothing), firsts])
+        n = len(entries)
+        words, owner, blank, known = self._cut(entries, len(names))
+        odd = blank | (np.append(np.zeros(len(names), np.int32), lengths) > 1) & (pc.binary_length(entries).to_numpy() == 0)
         whole = (np.add.reduceat(odd[which], starts) > 0) | _mask(pc.match_substring(texts, SPECIAL))
-        whole |= np.array([name[:1].isspace() or name[-1:].isspace() or name[1:2].isspace() or (not name and n > 1) for name, n in zip(firsts, lengths, strict=True)])
-        for at in np.flatnonzero(whole).tolist():
-            # The other pieces are in the whole text's ids.
-            which[starts[at] + 1:starts[at] + lengths[at]] = -1
-        used = np.zeros(len(names) + len(texts) + 1, bool)
+        for text in np.flatnonzero(whole).tolist():
+            which[starts[text]:starts[text] + lengths[text]] = n
+        used = np.zeros(n + 1, bool)
         used[which] = True
-
-        marked = _mask(pc.match_substring_regex(names, f"\\p{{L}}[{MARKS}]$")) & ~_mask(pc.match_substring(names, "\n"))
-        words = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
-        word = words.indices.to_numpy().astype(np.int64)
-        wanted = np.zeros(len(words.dictionary), bool)
-        wanted[word[used[:len(names)]]] = True
-        coded, counts = self.words.ids(words.dictionary.filter(pa.array(wanted)), self._encode_words)
-        place = np.cumsum(wanted) - 1
-        last = np.zeros(len(names), np.int64)
-        for mark, one in self.marks.items():
-            last[marked & _mask(pc.ends_with(names, mark))] = one
-
-        self._learn({name for name, skip in zip(firsts, whole.tolist(), strict=True) if name and not skip})
-        known = self.known
-        begun = [known[name] if name and not skip else b"" for name, skip in zip(firsts, whole.tolist(), strict=True)]
-        for at, one in zip(np.flatnonzero(whole).tolist(), self._encode([texts[at].as_py() for at in np.flatnonzero(whole).tolist()]), strict=True):
-            begun[at] = one
-        if len(known) > PARTS or self.letters > PARTS_LETTERS:
-            self.known, self.before, self.letters = {}, known, 0
-        # Entries: pieces as a word and perhaps a mark, first pieces, and an empty one at the end.
-        table = np.concatenate([coded, np.frombuffer(b"".join(begun), "<u4")])
-        sizes = np.concatenate([counts, [len(one) // 4 for one in begun], [0]]).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        entry = np.concatenate([place[word], len(counts) + np.arange(len(texts) + 1)])
-        entry[:len(names)][~used[:len(names)]] = len(sizes) - 1
-        more = np.append(marked, np.zeros(len(texts) + 1, bool))
-        held = sizes[entry] + more
-        pieces = _gathered(table, first[entry], held, more, np.append(last, np.zeros(len(texts) + 1, np.int64)))
-        begin = np.cumsum(held) - held
-        flat = _gathered(pieces, begin[which], held[which])
-        return flat, np.add.reduceat(held[which], starts)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before them; some hold line ends."""
-        words = [" " + word for word in words]
-        plain = [word for word in words if "\n" not in word]
-        lined = {word for word in words if "\n" in word}
-        self._learn(lined)
-        coded = iter(self._encode_atoms(plain))
-        return [self.known[word] if word in lined else next(coded) for word in words]
+        wanted = used[owner] & ~known[owner]
+        owner, words = owner[wanted], words.filter(pa.array(wanted)).dictionary_encode()
+        table, counts = self.words.ids(words.dictionary, self._encode_words)
+        word = words.indices.to_numpy()
+        flat = _gathered(table, (np.cumsum(counts) - counts)[word], counts[word])
+        sizes = np.append(np.bincount(owner, counts[word], n).astype(np.int64), 0)
+
+        # Ids of the whole library stand behind those of the words.
+        pieces = np.flatnonzero(known & used[:n])
+        alone = np.flatnonzero(whole)
+        coded = self._learn(entries.take(pa.array(pieces)).to_pylist()) + self._encode(texts.take(pa.array(alone)).to_pylist())
+        flat = np.concatenate([flat, np.frombuffer(b"".join(coded), "<u4")])
+        begins = np.cumsum(sizes) - sizes
+        more = np.array([len(one) // 4 for one in coded], np.int64)
+        after = len(flat) - more.sum() + np.cumsum(more) - more
+        begins, sizes = np.append(begins, after[len(pieces):]), np.append(sizes, more[len(pieces):])
+        begins[pieces], sizes[pieces] = after[:len(pieces)], more[:len(pieces)]
+        which[starts[alone]] = n + 1 + np.arange(len(alone))
+        parts = [_gathered(flat, begins[some], sizes[some]) for some in np.array_split(which, (len(which) >> 17) + 1)]
+        return np.concatenate(parts), np.add.reduceat(sizes[which], starts)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         flat, sizes = self.ids(pa.array(texts, pa.large_string()))
         return [part.tobytes() for part in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, before = self.known, self.before
-        pieces = [piece for piece in pieces if piece not in known]
-        self.letters += sum(map(len, pieces))
-        atoms = {piece: self._atoms(piece) for piece in pieces if piece not in before}
-        known.update((piece, before[piece]) for piece in pieces if piece in before)
-        fresh = {atom for parts in atoms.values() for atom in parts if atom not in known}
-        known.update((atom, before[atom]) for atom in fresh if atom in before)
-        fresh = [atom for atom in fresh if atom not in before]
-        plain = [atom for atom in fresh if "\n" not in atom]
-        lined = [atom for atom in fresh if "\n" in atom]
-        known.update(zip(plain, self._encode_atoms(plain), strict=True))
-        known.update(zip(lined, self._encode(lined), strict=True))
-        for piece, parts in atoms.items():
-            if len(parts) > 1:
-                known[piece] = b"".join([known[atom] for atom in parts])
-
-    @staticmethod
-    def _atoms(piece: str) -> list[str]:
-        lines = piece.split("\n")
-        if len(lines) > 1 and any(not line or line[0].isspace() or line[-1].isspace() for line in (lines[0][1:], *lines[1:])):
-            return [piece]
-        atoms = []
-        for at, line in enumerate(lines):
-            if at:
-                atoms.append("\n")
-            if len(line) > 2 and line[-1] in MARKS and line[-2].isalpha():
-                atoms += [line[:-1], line[-1]]
-            else:
-                atoms.append(line)
-        return atoms
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces from the whole library; the latest are kept."""
+        fresh = list({piece for piece in pieces if piece not in self.known and piece not in self.before})
+        found = dict(zip(fresh, self._encode(fresh), strict=True))
+        found.update((piece, self.before[piece]) for piece in pieces if piece in self.before)
+        self.known.update(found)
+        self.letters += sum(map(len, found))
+        out = [self.known[piece] for piece in pieces]
+        if len(self.known) > PARTS or self.letters > PARTS_LETTERS:
+            self.known, self.before, self.letters = {}, self.known, 0
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -309,7 +345,7 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(DOCUMENTS)
     for batch in batches:
         for row in batch.to_pylist():
-            ids = range_coder.decode(row["data"]).astype("<u4")
+            ids = range_coder.decode(row["data"]).astype("<u4", copy=False)
             lengths = np.array(row["lengths"], np.int64)
             ends = np.cumsum(lengths)
             n = len(lengths)
@@ -324,7 +360,7 @@ def _token_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("doc_id long, ids array<long>")
     for batch in batches:
         for row in batch.to_pylist():
-            parts = np.split(range_coder.decode(row["data"]), np.cumsum(row["lengths"])[:-1])
+            parts = np.split(range_coder.decode(row["data"]).astype(np.int64), np.cumsum(row["lengths"])[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(parts, schema.field(1).type)], schema=schema)
 
 
