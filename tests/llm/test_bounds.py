@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
+import pytest
 
-from wirepulse.llm import decontamination, text, token_files
+from wirepulse.llm import decontamination, lm_scoring, text, token_files
 
 
 def benchmark_texts() -> list[bytes]:
@@ -84,3 +86,56 @@ def test_encoder_remembers_words_in_little_room():
     held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
     tracemalloc.stop()
     assert held < 60 * 60_000
+
+
+@pytest.fixture(scope="module")
+def chunk():
+    texts = [one.decode() for one in benchmark_texts()] * 450
+    n = len(texts)
+    return pa.table({"chunk": pa.array([0] * n, pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "text": texts})
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_chunk_of_the_language_model_is_worked_on_in_pieces(chunk):
+    assert chunk["text"].nbytes > 5 << 20
+    words, words_peak = peak_of(lambda: lm_scoring._chunk_words(chunk))
+    found, grams_peak = peak_of(lambda: lm_scoring._chunk_grams(chunk))
+    n, m = words.num_rows, found.num_rows
+    known = pa.table({
+        "chunk": pa.array([0] * (n + m), pa.int64()),
+        "word": pa.chunked_array([words["word"].combine_chunks(), pa.nulls(m, pa.binary())]),
+        "gram": pa.chunked_array([pa.nulls(n, pa.int64()), found["gram"].combine_chunks()]),
+        "c": pa.chunked_array([words["n"].combine_chunks(), pa.array([0] * m, pa.int64())]),
+        "value": pa.array([0.0] * n + [-1.0] * m),
+        "fresh": pa.array([True] * n + [False] * m),
+    })
+    scored, scored_peak = peak_of(lambda: lm_scoring._score_chunk(chunk, known))
+    lengths = [len(one) for one in chunk["text"].to_pylist()]
+    assert scored["score"].to_pylist() == [*(-1.0 - length for length in lengths), None]
+    assert max(words_peak, grams_peak, scored_peak) < 70 << 20
+
+
+def test_four_grams_of_a_task_are_counted_in_pieces(chunk, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PENDING", 5000)
+    batches = chunk.select(["doc_id", "text"]).to_batches(max_chunksize=20_000)
+    (found,), peak = peak_of(lambda: list(lm_scoring._count_grams(batches)))
+    assert peak < 70 << 20
+    want, times = Counter(), Counter()
+    for doc_id, one in zip(chunk["doc_id"].to_pylist(), chunk["text"].to_pylist(), strict=True):
+        times[one.encode()] += lm_scoring.remainder(doc_id) != lm_scoring.HELD_OUT
+    for one, c in times.items():
+        for code in lm_scoring.grams([one])[0].tolist():
+            want[code] += c
+    assert dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True)) == want
+
+
+def test_no_batches_count_no_four_grams():
+    (found,) = lm_scoring._count_grams([])
+    assert found.num_rows == 0 and found.schema.types == [pa.int64(), pa.int64()]

@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirepulse.llm.text import GROUP_BYTES, arrow_schema, groups, utf8
+from wirepulse.llm.text import arrow_schema, slices, utf8
 from wirepulse.session import materialise, scratch_path
 
 #: Documents with this remainder of crc32(id) mod 7 are held out.
 HELD_OUT, PARTS = 2, 7
 #: Bytes of text in a chunk, about: the documents that share one look-up in the counts.
 CHUNK_BYTES = 10 << 20
+#: Bytes of text, about, whose words and 4-grams a task holds at once: some 50 times as many bytes.
+PIECE_BYTES = 1 << 20
+#: Distinct 4-grams of pieces that a task lets gather, at least, before it adds them up.
+PENDING = 1 << 18
 #: Stands for the end of a text among the words, which hold no white space.
 END = b"\n"
 #: Fills the contexts before a text, and ends it, among the bytes.
@@ -48,6 +52,12 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def _pieces(ids: pa.ChunkedArray | pa.Array, column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts, of which only one piece at a time is copied out of Arrow."""
+    for a, b in slices(column, PIECE_BYTES):
+        yield ids.slice(a, b - a).to_pylist(), utf8(column.slice(a, b - a))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram that ends at each byte and at the end of each text, and where texts start."""
     joined = b"".join(EDGE * ORDER + text + EDGE for text in texts)
@@ -56,33 +66,44 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     wanted = np.ones(len(joined), bool)
     for k in range(1, ORDER + 1):
         wanted[ends - k] = False
-    codes = np.ndarray((len(joined) - ORDER,), ">u4", joined, strides=(1,)).astype(np.int64)
+    codes = np.ndarray((len(joined) - ORDER,), ">u4", joined, strides=(1,))
     starts = np.cumsum(length - ORDER) - (length - ORDER)
-    return codes[wanted[:len(codes)]], starts
+    return codes[wanted[:len(codes)]].astype(np.uint32), starts
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``gram, c``: 4-grams of all documents with their counts in the training documents.
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct 4-grams of all lists with the sums of their counts."""
+    at, found = pd.factorize(np.concatenate(codes))
+    return [found], [np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)]
 
-    Tasks add up before the shuffle.
-    """
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = pd.Series(dtype=np.int64)
-        for batch in batches:
+def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """4-grams of a task's documents, with their counts in those for training."""
+    codes, counts, pending = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+    for batch in batches:
+        for ids, texts in _pieces(batch.column(0), batch.column(1)):
             both: tuple[list, list] = ([], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for doc_id, text in zip(ids, texts, strict=True):
                 both[remainder(doc_id) != HELD_OUT].append(text)
-            for trained, texts in enumerate(both):
-                for a, b in groups(texts):
-                    at, found = pd.factorize(grams(texts[a:b])[0])
-                    counted = pd.Series(trained * np.bincount(at, minlength=len(found)), index=found)
-                    total = total.add(counted, fill_value=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))], ["gram", "n"]
-        )
+            for trained, part in enumerate(both):
+                if part:
+                    at, found = pd.factorize(grams(part)[0])
+                    codes.append(found)
+                    counts.append(trained * np.bincount(at, minlength=len(found)))
+                    pending += len(found)
+            if pending > max(PENDING, len(codes[0])):
+                codes, counts = _added(codes, counts)
+                pending = 0
+    codes, counts = _added(codes, counts)
+    yield pa.RecordBatch.from_arrays([pa.array(codes[0].astype(np.int64)), pa.array(counts[0])], ["gram", "n"])
+
 
-    return docs.select("doc_id", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """``gram, c``: 4-grams of all documents with their counts in the training documents.
+
+    Tasks add up before the shuffle.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
 def _log_share(part: Column, total: Column, distinct: Column) -> Column:
@@ -151,9 +172,9 @@ def _table(columns: list, ddl: str) -> pa.Table:
 def _chunk_words(table: pa.Table) -> pa.Table:
     """Distinct words of a chunk, with their counts in its training documents."""
     chunk, counts, rest = table["chunk"][0].as_py(), Counter(), set()
-    texts = utf8(table["text"])
-    for doc_id, text in zip(table["doc_id"].to_pylist(), texts, strict=True):
-        (rest if remainder(doc_id) == HELD_OUT else counts).update(tokens(text))
+    for ids, texts in _pieces(table["doc_id"], table["text"]):
+        for doc_id, text in zip(ids, texts, strict=True):
+            (rest if remainder(doc_id) == HELD_OUT else counts).update(tokens(text))
     rest.difference_update(counts)
     n = len(counts) + len(rest)
     return _table(
@@ -163,10 +184,11 @@ def _chunk_words(table: pa.Table) -> pa.Table:
 
 def _chunk_grams(table: pa.Table) -> pa.Table:
     """Distinct 4-grams of a chunk."""
-    texts = utf8(table["text"])
-    found = pd.unique(np.concatenate([pd.unique(grams(texts[a:b])[0]) for a, b in groups(texts)]))
+    found = pd.unique(np.concatenate([pd.unique(grams(texts)[0]) for _, texts in _pieces(table["doc_id"], table["text"])]))
     n = len(found)
-    return _table([np.full(n, table["chunk"][0].as_py()), np.full(n, None), found, np.zeros(n, np.int64)], NEEDS)
+    return _table(
+        [np.full(n, table["chunk"][0].as_py()), np.full(n, None), found.astype(np.int64), np.zeros(n, np.int64)], NEEDS
+    )
 
 
 def _score_chunk(docs: pa.Table, known: pa.Table) -> pa.Table:
@@ -180,20 +202,20 @@ def _score_chunk(docs: pa.Table, known: pa.Table) -> pa.Table:
     gram, value = coded["gram"].to_numpy(), coded["value"].to_numpy()
     by = np.argsort(gram)
     gram, value = gram[by], value[by]
-    texts, ids = utf8(docs["text"]), docs["doc_id"].to_pylist()
+    ids = docs["doc_id"].to_pylist()
     held = [remainder(doc_id) == HELD_OUT for doc_id in ids]
     n_tokens, n_known, known_score, score = [], [], [], []
-    for a, b in groups(texts, GROUP_BYTES):
-        listed = [tokens(text) for text in texts[a:b]]
+    for _, texts in _pieces(docs["doc_id"], docs["text"]):
+        listed = [tokens(text) for text in texts]
         length = np.array([len(one) for one in listed])
         c = np.fromiter((count[word] for one in listed for word in one), np.int64, int(length.sum()))
         starts = np.cumsum(length) - length
         n_tokens.append(length)
         n_known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
         known_score.append(np.add.reduceat(np.log10(c + 1.0), starts))
-        codes, starts = grams(texts[a:b])
+        codes, starts = grams(texts)
         at, found = pd.factorize(codes)
-        score.append(np.add.reduceat(value[np.searchsorted(gram, found)][at], starts))
+        score.append(np.add.reduceat(value[np.searchsorted(gram, found.astype(np.int64))][at], starts))
     n = len(ids)
     trained = int(sum(k for k, out in zip(np.concatenate(n_tokens).tolist(), held, strict=True) if not out))
     new = pa.compute.sum(pa.compute.cast(words["fresh"], pa.int64())).as_py()
